@@ -55,8 +55,8 @@ def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInPandas(encode, "word string, n long, ids array<int>")
 
 
-def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids) of every document; an empty array where there is no text."""
+def _coded(documents: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, text_key, pos, ids) of every word of every text, through the distinct-word table."""
     words = words_of(documents)
     vocab = materialize(word_table(words, vocabulary))
     hot = vocab.filter(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "ids")
@@ -65,12 +65,24 @@ def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
     tagged = words.join(F.broadcast(hot), "word", "left")
     known = tagged.filter("ids is not null").select("doc_id", "text_key", "pos", "ids")
     rest = tagged.filter("ids is null").select("doc_id", "text_key", "pos", "word").join(cold, "word").select("doc_id", "text_key", "pos", "ids")
-    joined = known.unionByName(rest).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "ids")).alias("parts"))
+    return known.unionByName(rest)
+
+
+def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, ids) of every document; an empty array where there is no text."""
+    joined = _coded(documents, vocabulary).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "ids")).alias("parts"))
     joined = joined.select("doc_id", "text_key", F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids"))
     texts = documents.select("doc_id", F.xxhash64("text").alias("text_key")).distinct()
     return texts.join(joined, ["doc_id", "text_key"], "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def token_counts(documents: DataFrame, vocabulary: str, *keep: str) -> DataFrame:
+    """(doc_id, *keep, n_tokens) of every document; counts are summed before they are shuffled."""
+    sums = _coded(documents, vocabulary).groupBy("doc_id", "text_key").agg(F.sum(F.size("ids")).alias("n"))
+    texts = documents.groupBy("doc_id", F.xxhash64("text").alias("text_key"), *keep).agg(F.count(F.lit(1)).alias("rows"))
+    return texts.join(sums, ["doc_id", "text_key"], "left").select("doc_id", *keep, F.coalesce((F.col("n") / F.col("rows")).cast("long"), F.lit(0)).alias("n_tokens"))
+
+
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids), through a join with the id-to-piece table (as large as the vocabulary)."""
     spark = encoded.sparkSession

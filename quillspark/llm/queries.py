@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import copies, encode, sentences, unify
+from quillspark.llm import copies, encode, mixture, sentences, spam, unify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": unify.p1_found,
@@ -18,6 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": encode.p6_ids,
     "p6_vocabulary": encode.p6_vocabulary,
     "p6_decoded": encode.p6_decoded,
+    "p7_mixture": mixture.p7_mixture,
+    "p7_shares": mixture.p7_shares,
+    "p8_found": spam.p8_found,
+    "p8_scores": spam.p8_scores,
 }
 
 _GROUPS = r"""
