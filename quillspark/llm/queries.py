@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import copies, encode, mixture, sentences, spam, unify
+from quillspark.llm import align, copies, encode, mixture, sentences, spam, unify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": unify.p1_found,
     "p1_forms": unify.p1_forms,
+    "p2_found": align.p2_found,
+    "p2_lexicon": align.p2_lexicon,
     "p3_found": sentences.p3_found,
     "p3_sentences": sentences.p3_sentences,
     "p5_found": copies.p5_found,
