@@ -33,7 +33,7 @@ WITH body AS (
   FROM documents WHERE text IS NOT NULL),
 leaves AS (
   SELECT doc_id, language, is_list,
-         list_filter([lower(upper(regexp_replace(x, '[^\p{L}\p{M}\p{N}]+', '', 'g'))) FOR x IN lines], x -> x <> '') AS leaves
+         [y FOR y IN [lower(upper(regexp_replace(x, '[^\p{L}\p{M}\p{N}]+', '', 'g'))) FOR x IN lines] IF y <> ''] AS leaves
   FROM body),
 keyed AS (
   SELECT doc_id, coalesce(language, '') AS language, is_list, CASE WHEN is_list THEN list_sort(leaves) ELSE leaves END AS leaves
