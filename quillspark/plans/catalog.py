@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import nested
+from quillspark.operators import corpus, nested
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (nested, corpus)
 
 
 def core_queries() -> dict[str, Query]:
-    return {**nested.QUERIES}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def core_oracle() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
