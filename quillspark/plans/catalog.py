@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import corpus, nested
+from quillspark.operators import corpus, groups, names, nested
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, corpus)
+MODULES = (nested, corpus, groups, names)
 
 
 def core_queries() -> dict[str, Query]:
