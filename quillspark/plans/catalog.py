@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import corpus, groups, names, nested
+from quillspark.operators import corpus, groups, names, nested, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, corpus, groups, names)
+MODULES = (nested, corpus, groups, names, search)
 
 
 def core_queries() -> dict[str, Query]:
@@ -21,4 +21,4 @@ def core_oracle() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.p4_objects(spark, sf_dir)
+    return search.bm25_unicode(spark, sf_dir)
