@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.text import Sql
-from quillspark.session import table
+from quillspark.session import materialize, table
 
 K1, B, IDF_FLOOR, LIMIT, PER_CANONICAL = 1.2, 0.75, 1e-6, 10, 2
 COLUMNS = ("title", "speaker", "text")
@@ -78,9 +78,9 @@ def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def bm25(units: DataFrame, queries: DataFrame, mode: str) -> DataFrame:
     """(query_id, unit_seq, canonical_id, language, score) of all units that have every phrase of the query."""
-    index = indexed(units, mode)
+    index = materialize(indexed(units, mode))
     phrases = phrases_of(queries, mode)
-    hits = phrase_hits(index, phrases)
+    hits = materialize(phrase_hits(index, phrases))
     stats = index.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("d").alias("avgdl")).first()
     n, avgdl = (stats["n"] or 0.0), (stats["avgdl"] or 1.0)
     per = hits.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
