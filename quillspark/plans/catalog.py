@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import corpus, groups, names, nested, reader, search
+from quillspark.operators import corpus, groups, names, nested, payload, reader, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, corpus, groups, names, search, reader)
+MODULES = (nested, corpus, groups, names, search, reader, payload)
 
 
 def core_queries() -> dict[str, Query]:
