@@ -158,24 +158,33 @@ def _chain(i: np.ndarray, j: np.ndarray, score: np.ndarray, slope: float) -> np.
     return mask
 
 
+def _greatest(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The greatest value of each element's group, at each element."""
+    out = np.full(group.max() + 1, -np.inf)
+    np.maximum.at(out, group, value)
+    return out[group]
+
+
+NOTHING = pd.DataFrame({"doc_a": [], "line_a": [], "doc_b": [], "line_b": []}).astype({"doc_a": "int64", "line_a": "int32", "doc_b": "int64", "line_b": "int32"})
+
+
 def _blocks(points: pd.DataFrame) -> pd.DataFrame:
     """The aligned lines of one pair of counterparts from its cells."""
-    n_x, n_y = int(points["n_x"].iloc[0]), int(points["n_y"].iloc[0])
-    points = points.sort_values(["i", "j"]).reset_index(drop=True)
+    n_x, n_y, x, y = (int(points[c].iat[0]) for c in ("n_x", "n_y", "doc_x", "doc_y"))
     i, j, a, b = (points[c].to_numpy() for c in ("i", "j", "a", "b"))
+    order = np.lexsort((j, i))
+    i, j, a, b = i[order], j[order], a[order], b[order]
     score = (a + b) / 2
-    top_i, top_j = points.assign(s=score).groupby("i")["s"].transform("max").to_numpy(), points.assign(s=score).groupby("j")["s"].transform("max").to_numpy()
-    top_a, top_b = points.groupby("i")["a"].transform("max").to_numpy(), points.groupby("j")["b"].transform("max").to_numpy()
+    top_i, top_j, top_a, top_b = _greatest(i, score), _greatest(j, score), _greatest(i, a), _greatest(j, b)
     leads = ((score >= 0.95 * top_i) | (score >= 0.95 * top_j) | (a >= 0.97 * top_a) | (b >= 0.97 * top_b)) & (np.maximum(a, b) >= LINKED)
     keep = np.flatnonzero(leads)
-    empty = pd.DataFrame({"doc_a": [], "line_a": [], "doc_b": [], "line_b": []}).astype({"doc_a": "int64", "line_a": "int32", "doc_b": "int64", "line_b": "int32"})
     if not len(keep):
-        return empty
-    on = np.zeros(len(points), dtype=bool)
+        return NOTHING
+    on = np.zeros(len(i), dtype=bool)
     on[keep] = _chain(i[keep], j[keep], score[keep], n_y / n_x)
     # Height of the chain at every line of x, between its points.
-    chain = points[on].groupby("i")["j"].mean()
-    height = np.interp(i, chain.index.to_numpy(), chain.to_numpy())
+    lines, place = np.unique(i[on], return_inverse=True)
+    height = np.interp(i, lines, np.bincount(place, weights=j[on]) / np.bincount(place))
     near = np.abs(height - j) <= 1.6
     mutual = (score >= 0.999 * top_i) & (score >= 0.999 * top_j)
     covered = np.maximum(a, b)
@@ -183,10 +192,9 @@ def _blocks(points: pd.DataFrame) -> pd.DataFrame:
     accept = leads & ((on & (covered >= LINKED)) | (near & (covered >= LINKED + 0.12) & (score >= 0.36)))
     # Off the chain: moved lines only if both sides agree.
     accept |= leads & ~near & mutual & (np.minimum(a, b) >= MOVED)
-    linked = min(len(set(i[accept])) / n_x, len(set(j[accept])) / n_y) if accept.any() else 0.0
+    linked = min(len(np.unique(i[accept])) / n_x, len(np.unique(j[accept])) / n_y) if accept.any() else 0.0
     if linked < RELATED or (on & accept).sum() < min(2, n_x, n_y):
-        return empty
-    x, y = int(points["doc_x"].iloc[0]), int(points["doc_y"].iloc[0])
+        return NOTHING
     left, right = (x, y) if x < y else (y, x)
     li, rj = (i[accept], j[accept]) if x < y else (j[accept], i[accept])
     return pd.DataFrame({"doc_a": left, "line_a": li.astype("int32"), "doc_b": right, "line_b": rj.astype("int32")})
