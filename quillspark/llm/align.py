@@ -30,6 +30,8 @@ BAND = 1
 MEETINGS, GAIN, KEPT = 3, 0.12, 3
 #: Least share of a line's weight that must be translated; least share of a text's lines that must be linked.
 LINKED, MOVED, RELATED = 0.38, 0.6, 0.3
+#: Least mean share of translated weight over a pair's links; real translations stay well above it.
+SURE = 0.58
 
 
 def _words(text: Column, language: Column) -> Column:
@@ -193,7 +195,7 @@ def _blocks(points: pd.DataFrame) -> pd.DataFrame:
     # Off the chain: moved lines only if both sides agree.
     accept |= leads & ~near & mutual & (np.minimum(a, b) >= MOVED)
     linked = min(len(np.unique(i[accept])) / n_x, len(np.unique(j[accept])) / n_y) if accept.any() else 0.0
-    if linked < RELATED or (on & accept).sum() < min(2, n_x, n_y):
+    if linked < RELATED or (on & accept).sum() < min(2, n_x, n_y) or score[accept].mean() < SURE:
         return NOTHING
     left, right = (x, y) if x < y else (y, x)
     li, rj = (i[accept], j[accept]) if x < y else (j[accept], i[accept])

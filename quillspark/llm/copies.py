@@ -26,7 +26,8 @@ SALTS = 32
 
 def leaf(text: Column) -> Column:
     """The normalised form of a leaf."""
-    return F.lower(F.upper(F.regexp_replace(text, SET_ASIDE, "")))
+    # The removal stands between the two case changes, or the optimizer would drop the first.
+    return F.lower(F.regexp_replace(F.upper(text), SET_ASIDE, ""))
 
 
 def with_root_digest(documents: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ from quillspark.session import table
 
 KINDS = ("detail", "volume", "story", "avatar_stories", "avatar_quotes")
 
-# Placeholders. MASK: a mark that ends nothing; INNER: a mark inside quotation marks or brackets; CUT: a boundary.
-MASK, INNER, CUT, SPARE = "", "", "", ""
+# Placeholders. MASK: a mark that ends nothing; INNER: a mark inside quotation marks or brackets; CUT: a boundary;
+# OPEN: a straight quotation mark that opens; SPARE: what stands for these characters if the text has them.
+MASK, INNER, CUT, SPARE, OPEN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 TERMINATORS = "!?。．！？｡⁉‼⁇⁈"
 CLOSERS = r"”’\"」』》〉）)\]】〕"
 #: Quoted and bracketed spans within a line; an apostrophe inside a word closes nothing.
@@ -43,7 +44,7 @@ SAID_EN = r"(?:said|asked|cried|answered|whispered|muttered|shouted|replied|adde
 
 def _mask_dots(text: Column) -> Column:
     """Dots, and runs of dots, that end no sentence."""
-    out = F.translate(text, MASK + INNER + CUT, SPARE * 3)
+    out = F.translate(text, MASK + INNER + CUT + OPEN, SPARE * 4)
     out = F.regexp_replace(out, r"(?<=\.)\.|\.(?=\.)|…", MASK)  # ellipses
     out = F.regexp_replace(out, r"(?<=\d)\.(?=\d)", MASK)  # decimals, versions
     out = F.regexp_replace(out, r"(?<=[\p{L}\p{N}])\.(?=\p{Ll})", MASK)  # addresses, inner dots of e.g., a.m.
@@ -60,7 +61,7 @@ def _mask_spans(text: Column, language: Column) -> Column:
     marks = "." + TERMINATORS
 
     def masked(x: Column, i: Column) -> Column:
-        body = F.translate(x, marks, MASK * len(marks))
+        body = F.regexp_replace(F.translate(x, marks, MASK * len(marks)), '^"', OPEN)
         ends = F.rlike(x, F.lit(rf"[.{TERMINATORS}]+[{CLOSERS}]$"))
         before = F.coalesce(F.get(segments, i - 1), F.lit("\n"))
         # Titles never end a sentence; nor, in Chinese, a quotation that continues the words before it.
@@ -78,7 +79,7 @@ def _cut(masked: Column, language: Column) -> Column:
     # Wide terminators end a sentence wherever they stand.
     out = F.regexp_replace(out, rf"[{wide}!?]*[{wide}][{wide}!?{MASK}]*[{CLOSERS}]*", "$0" + CUT)
     # Narrow ones need something that can begin a sentence after them.
-    begin = rf"(?=\s*$|\s*\R|\s+[^\s\p{{Ll}}]|[\p{{Lu}}\p{{Lo}}{OPENERS.replace('[', '').replace('(', '')}(\[<])"
+    begin = rf"(?=\s*$|\s*\R|\s+[^\s\p{{Ll}}]|[\p{{Lu}}\p{{Lo}}{OPEN}{OPENERS.replace('[', '').replace('(', '')}(\[<])"
     dots = F.regexp_replace(out, rf"(?U)[.!?]+(?:{MASK}(?=\s))?[{CLOSERS}]*{begin}", "$0" + CUT)
     dots = F.regexp_replace(dots, r"[!?][" + CLOSERS + r"]*(?=\d)|(?<=\p{Ll})\.(?=\d)", "$0" + CUT)
     marks = F.regexp_replace(out, rf"[!?]+[{CLOSERS}]*(?![!?{CLOSERS}])", "$0" + CUT)
@@ -86,7 +87,7 @@ def _cut(masked: Column, language: Column) -> Column:
     # A closing mark after a closed sentence, unless its clause of saying or asking, or a particle, follows.
     closed = rf"{INNER}[{CLOSERS}]+(?![{CLOSERS}.{TERMINATORS}、，,;；:：{CUT}])"
     stop = rf"[.{TERMINATORS}{MASK}{CUT}\n\r]|$"
-    en = rf"(?U){closed}(?=\s+[^\s\p{{Ll}}]|[\p{{Lu}}“‘\"(\[<])(?!\s+(?:\p{{Lu}}\S*\s+){{1,3}}{SAID_EN}(?!\s+that)\b)"
+    en = rf"(?U){closed}(?=\s+[^\s\p{{Ll}}]|[\p{{Lu}}{OPEN}“‘\"(\[<])(?!\s+(?:\p{{Lu}}\S*\s+){{1,3}}{SAID_EN}(?!\s+that)\b)"
     ko = rf"(?U){closed}(?!이?라[고는며면]|하고|하며)(?!\s+하고\s)(?!\s*[^\s“”‘’\"]+(?:이|가|은|는)\s[^“”‘’\"{TERMINATORS}.\n]{{0,20}}?{SAID_KO}(?:{stop}))"
     ja = rf"{closed}(?!と|って|は(?!い)|が|を|に|の|も(?!う)|で(?!も)|から|まで)(?![^「」『』{TERMINATORS}\n]{{1,30}}{SAID_JA}(?:{stop}))"
     zh = rf"{closed}(?![^“”‘’「」{TERMINATORS}\n]{{1,30}}{SAID_ZH}(?:{stop}))"

@@ -119,7 +119,7 @@ def smoothed(pages: DataFrame) -> DataFrame:
     # One host may hold a third of all pages: its rate is repeated per salt, and its pages are spread over the salts.
     rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     odds = lambda c: F.log(F.greatest(F.lit(0.01), F.least(F.lit(0.99), c)) / (1 - F.greatest(F.lit(0.01), F.least(F.lit(0.99), c))))
-    shift = F.coalesce(odds(F.col("rate")) - odds(F.lit(float(mean))), F.lit(0.0))
+    shift = F.when(F.col("rate").isNotNull(), odds(F.col("rate")) - odds(F.lit(float(mean)))).otherwise(0.0)
     joined = pages.join(rates, ["host", "salt"], "left")
     return joined.select("doc_id", "host", "p", (1 / (1 + F.exp(-(odds(F.col("p")) + HOST_WEIGHT * shift)))).alias("score"))
 

@@ -122,19 +122,22 @@ def _rebuilt(points: DataFrame, target: str, out: str) -> DataFrame:
     for _ in range(3):
         marked = _recompose(marked, compositions)
     text = F.concat(F.coalesce(_char("starter"), F.lit("")), F.array_join(F.transform("marks", lambda m: _char(m["cp"])), ""))
-    pieces = plain.unionByName(marked).select("name", "run", F.col("starter").alias("cp"), (F.size("marks") == 0).alias("bare"), text.alias("piece"))
-    # Hangul: leading and vowel letters (and a trailing one) become a syllable.
+    tail = F.array_join(F.transform("marks", lambda m: _char(m["cp"])), "")
+    pieces = plain.unionByName(marked).select("name", "run", F.col("starter").alias("cp"), (F.size("marks") == 0).alias("bare"), text.alias("piece"), tail.alias("tail"))
+    # Hangul: leading and vowel letters (and a trailing one) become a syllable, unless a mark stands between them.
     row = W.partitionBy("name").orderBy("run")
-    at = lambda k: F.lag("cp", k).over(row) if k > 0 else F.lead("cp", -k).over(row)
-    lead = lambda c: c.between(0x1100, 0x1112)
-    vowel = lambda c: c.between(0x1161, 0x1175)
-    trail = lambda c: c.between(0x11A8, 0x11C2)
-    open_syllable = lambda c: c.between(0xAC00, 0xD7A3) & ((c - 0xAC00) % 28 == 0)
-    hangul = pieces.select("name", "run", "piece", "cp", at(1).alias("b1"), at(2).alias("b2"), at(-1).alias("a1"), at(-2).alias("a2"))
-    tail = F.when(trail(F.col("a2")), F.col("a2") - 0x11A7).otherwise(0)
-    syllable = _char(F.lit(0xAC00) + ((F.col("cp") - 0x1100) * 21 + (F.col("a1") - 0x1161)) * 28 + tail)
-    taken = (vowel(F.col("cp")) & lead(F.col("b1"))) | (trail(F.col("cp")) & ((vowel(F.col("b1")) & lead(F.col("b2"))) | open_syllable(F.col("b1"))))
-    whole = F.when(lead(F.col("cp")) & vowel(F.col("a1")), syllable).when(open_syllable(F.col("cp")) & trail(F.col("a1")), _char(F.col("cp") + F.col("a1") - 0x11A7)).when(taken, "").otherwise(F.col("piece"))
+    hangul = pieces.withColumn("at", F.struct("cp", "bare", "tail"))
+    hangul = hangul.select("name", "run", "piece", "at", F.lag("at", 1).over(row).alias("b1"), F.lag("at", 2).over(row).alias("b2"), F.lead("at", 1).over(row).alias("a1"), F.lead("at", 2).over(row).alias("a2"))
+    lead = lambda c: F.col(f"{c}.cp").between(0x1100, 0x1112)
+    vowel = lambda c: F.col(f"{c}.cp").between(0x1161, 0x1175)
+    trail = lambda c: F.col(f"{c}.cp").between(0x11A8, 0x11C2)
+    open_syllable = lambda c: F.col(f"{c}.cp").between(0xAC00, 0xD7A3) & ((F.col(f"{c}.cp") - 0xAC00) % 28 == 0)
+    opens, closes = lead("at") & F.col("at.bare") & vowel("a1"), F.col("a1.bare") & trail("a2")
+    syllable = F.lit(0xAC00) + ((F.col("at.cp") - 0x1100) * 21 + (F.col("a1.cp") - 0x1161)) * 28
+    built = F.when(opens & closes, F.concat(_char(syllable + F.col("a2.cp") - 0x11A7), "a2.tail")).when(opens, F.concat(_char(syllable), "a1.tail"))
+    built = built.when(open_syllable("at") & F.col("at.bare") & trail("a1"), F.concat(_char(F.col("at.cp") + F.col("a1.cp") - 0x11A7), "a1.tail"))
+    before = F.col("b1.bare") & ((vowel("at") & lead("b1")) | (trail("at") & (open_syllable("b1") | (vowel("b1") & lead("b2") & F.col("b2.bare")))))
+    whole = built.when(before, "")
     done = hangul.select("name", "run", F.coalesce(whole, F.col("piece")).alias("piece"))
     return done.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "piece"))), lambda x: x["piece"]), "").alias(out)).withColumn(out, F.trim(out))
 
