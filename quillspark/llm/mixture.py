@@ -4,8 +4,8 @@ Each source gets a factor, the expected number of copies of each of its document
 ``max_repeats``. The whole part is given to every document; the fractional part is settled by pivotal dependent
 rounding: two fractional copies meet, mass moves at random from one to the other until one of them is whole, and the
 remaining fraction goes on. Buckets of bounded size are settled in parallel; each hands at most one fraction to the
-next level of a reduction tree, until one fraction per source is left. Documents meet in order of size, so the tokens
-of a source stay within about one document per bucket of the wanted number.
+next level of a reduction tree, until one fraction per source is left. Documents meet in order of size, and the few large
+ones are settled before the fraction of the others is fixed, so the tokens of a source come close to the wanted number.
 
 The total. Without ``total_tokens`` the mixture has the largest total for which every source with text still reaches its
 share within ``max_repeats``, so shares differ from the targets only by what sources without text cannot give. With
@@ -33,6 +33,8 @@ from quillspark.session import materialize, table
 
 #: Most documents (or fractions of the level below) that are settled in one task at once.
 FAN_IN = 4096
+#: A document is large if it has more than this part of the tokens wanted of its source.
+LARGE = 1000
 EPS = 1e-9
 
 
@@ -56,7 +58,7 @@ def _settle(seed: int, level: int):
     """Pivotal rounding of one bucket: all fractions but at most one become 0 or 1."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        rows = bucket.sort_values(["n_tokens", "doc_id"], kind="stable").reset_index(drop=True)
+        rows = bucket.sort_values(["n_tokens", "doc_id"], ascending=False, kind="stable").reset_index(drop=True)
         rng = np.random.Generator(np.random.Philox(key=[seed * 1000 + level, int(rows["doc_id"].iloc[0]) & 0xFFFFFFFF]))
         p, draws = rows["p"].to_numpy(dtype=float, copy=True), rng.random(len(rows))
         held = -1
@@ -84,13 +86,12 @@ def _settle(seed: int, level: int):
 SETTLED = "source string, bucket long, doc_id long, n_tokens long, base int, p double"
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> DataFrame:
-    """(doc_id, source, n_tokens, copies) of every document of a listed source; ``sizes``: (doc_id, source, n_tokens)."""
-    spark = sizes.sparkSession
-    rows = plan(targets, sizes, total_tokens)
-    factors = spark.createDataFrame([(r["source"], r["factor"], max(1, math.ceil(r["n_docs"] / FAN_IN))) for r in rows], "source string, factor double, buckets long")
+def _rounded(known: DataFrame, rows: list[dict], seed: int) -> DataFrame:
+    """(doc_id, source, n_tokens, copies) with whole copies, for (doc_id, source, n_tokens) and each source's factor."""
+    spark = known.sparkSession
+    factors = spark.createDataFrame([(r["source"], float(r["factor"]), max(1, math.ceil(r["n_docs"] / FAN_IN))) for r in rows], "source string, factor double, buckets long")
     # The plan has one row per listed source; that is its bound.
-    known = sizes.join(F.broadcast(factors), "source")
+    known = known.join(F.broadcast(factors), "source")
     factor = F.when(F.col("n_tokens") > 0, F.col("factor")).otherwise(0.0)
     base = F.floor(factor + EPS)
     state = known.select("source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("buckets")).alias("bucket"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), base.cast("int").alias("base"), F.greatest(F.lit(0.0), factor - base).alias("p"))
@@ -114,6 +115,26 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
     return out.select("doc_id", "source", "n_tokens", (F.col("base") + F.round("p").cast("int")).alias("copies"))
 
 
+def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> DataFrame:
+    """(doc_id, source, n_tokens, copies) of every document of a listed source; ``sizes``: (doc_id, source, n_tokens)."""
+    spark = sizes.sparkSession
+    rows = plan(targets, sizes, total_tokens)
+    large = spark.createDataFrame([(r["source"], max(1.0, r["factor"] * r["tokens"] / LARGE)) for r in rows], "source string, large double")
+    known = sizes.join(F.broadcast(large), "source")
+    # Large documents are settled first. What they give more or less than expected, the others make up for: on average
+    # over the draws each document is still used as often as the factor says.
+    first = materialize(_rounded(known.filter("n_tokens > large").drop("large"), rows, seed))
+    given = {r["source"]: r for r in first.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
+    rest = []
+    for r in rows:
+        g = given.get(r["source"])
+        got, tokens = (g["got"], g["tokens"]) if g else (0, 0)
+        left = r["tokens"] - tokens
+        factor = (r["factor"] * r["tokens"] - got) / left if left > 0 else 0.0
+        rest.append(r | {"factor": min(float(r["repeats"]), max(0.0, factor)), "n_docs": r["n_docs"] - (g["n"] if g else 0)})
+    return first.unionByName(_rounded(known.filter("n_tokens <= large").drop("large"), rest, seed + 1000))
+
+
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """The shares really reached, a row per listed source."""
     per = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_repeats"))
