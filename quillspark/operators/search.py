@@ -223,11 +223,11 @@ def _gram(c: str) -> str:
     return f"[lower(coalesce({c}, ''))[i:i+2] FOR i IN range(1, length(lower(coalesce({c}, ''))) - 1)]"
 
 
-def _bm25_sql(mode: str, name: str, queries: str) -> str:
+def _bm25_sql(mode: str, name: str, queries: str, source: str = "text_units") -> str:
     terms = Sql.tokens if mode == "unicode" else _gram
     parts = rf"regexp_split_to_array({Sql.strip('query')}, '{T.WS}+')" if mode == "unicode" else f"[{Sql.strip('query')}]"
     count = " + ".join(f"len([1 FOR i IN range(1, len(t{k}) - len(phrase) + 2) IF t{k}[i:i+len(phrase)-1] = phrase])" for k in range(3))
-    return f"""{name}_i AS MATERIALIZED (SELECT unit_seq, canonical_id, language, {', '.join(f"{terms(c)} AS t{i}" for i, c in enumerate(COLUMNS))} FROM text_units),
+    return f"""{name}_i AS MATERIALIZED (SELECT unit_seq, canonical_id, language, {', '.join(f"{terms(c)} AS t{i}" for i, c in enumerate(COLUMNS))} FROM {source}),
       {name}_l AS MATERIALIZED (SELECT *, len(t0) + len(t1) + len(t2) AS d FROM {name}_i), {name}_st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(d) AS avgdl FROM {name}_l),
       {name}_p0 AS (SELECT query_id, unnest(p) AS part, generate_subscripts(p, 1) AS phrase_no FROM (SELECT query_id, {parts} AS p FROM ({queries}))),
       {name}_p AS MATERIALIZED (SELECT query_id, phrase_no, {terms('part')} AS phrase FROM {name}_p0 WHERE part <> ''),

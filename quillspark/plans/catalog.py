@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import corpus, groups, names, nested, payload, reader, search
+from quillspark.operators import corpus, expansion, groups, names, nested, payload, reader, search
 from quillspark.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, corpus, groups, names, search, reader, payload, sessions)
+MODULES = (nested, corpus, groups, names, search, reader, payload, expansion, sessions)
 
 
 def core_queries() -> dict[str, Query]:
