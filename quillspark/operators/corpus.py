@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.text import Sql
+from quillspark.operators.ordering import ranked
 from quillspark.session import table
 
 CHUNK_CHARS = 1600
@@ -139,7 +140,7 @@ def readable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     title = F.when(T.is_generic_title(F.col("title")), F.col("document_id")).otherwise(F.col("title"))
     base = F.concat_ws("/", "language", "content_type", T.safe_path(title))
-    numbered = d.select("doc_id", base.alias("base")).withColumn("n", F.row_number().over(W.partitionBy("base").orderBy("doc_id")))
+    numbered = ranked(d.select("doc_id", base.alias("base")), ["base"], "doc_id", "n")
     return numbered.select("doc_id", F.when(F.col("n") > 1, F.format_string("%s (%d).json", "base", "n")).otherwise(F.concat("base", F.lit(".json"))).alias("path"))
 
 

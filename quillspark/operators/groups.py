@@ -7,11 +7,11 @@ Null texts count as empty texts here, as in the rule this follows; null titles c
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.text import Sql
+from quillspark.operators.ordering import ranked
 from quillspark.session import table
 
 #: Order of preference of the kinds when a group chooses its representative.
@@ -78,8 +78,7 @@ def occurrence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit ids made unique: an id that occurs once stays; else it gets a suffix of its content, and a number if need be."""
     u = table(spark, sf_dir, "text_units").select("unit_seq", "unit_id", F.left(F.sha2(F.concat_ws("|", "document_id", "text_hash"), 256), F.lit(12)).alias("suffix"))
     counted = u.join(u.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n")), "unit_id")
-    repeated = F.row_number().over(W.partitionBy("unit_id", "suffix").orderBy("unit_seq"))
-    named = counted.withColumn("k", repeated).withColumn("base", F.concat_ws(":", "unit_id", F.lit("occurrence"), "suffix"))
+    named = ranked(counted, ["unit_id", "suffix"], "unit_seq", "k").withColumn("base", F.concat_ws(":", "unit_id", F.lit("occurrence"), "suffix"))
     return named.select("unit_seq", F.when(F.col("n") == 1, F.col("unit_id")).when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws(":", "base", "k")).alias("occurrence_id"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.operators.ordering import sliced
 from quillspark.session import table
 
 #: Words that mark a contrast, and those that mark a translation note.
@@ -135,11 +136,21 @@ def reference_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user and event: running count, last positive value carried forward, last event type before."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
+    """Per user and event: running count, last positive value carried forward, last event type before.
+
+    Events without a user belong to no session. A user with a third of all events is worked on slice by slice."""
+    e = sliced(table(spark, sf_dir, "events").filter("user_id is not null").select("event_id", "user_id", "ts", "value", "event_type"), "ts")
+    positive = F.when(F.col("value") > 0, F.col("value"))
+    when = F.struct("ts", "event_id")
+    # One row per user and slice carries what a slice leaves to those after it.
+    ends = e.groupBy("user_id", "_slice").agg(F.count(F.lit(1)).alias("k"), F.max_by(positive, F.when(positive.isNotNull(), when)).alias("v"), F.max_by("event_type", when).alias("t"))
+    earlier = W.partitionBy("user_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("user_id", "_slice", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k0"), F.last("v", ignorenulls=True).over(earlier).alias("v0"), F.lag("t").over(W.partitionBy("user_id").orderBy("_slice")).alias("t0"))
+    w = W.partitionBy("user_id", "_slice").orderBy("ts", "event_id")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return e.select("event_id", F.count(F.lit(1)).over(upto).alias("turn"), F.last(F.when(F.col("value") > 0, F.col("value")), ignorenulls=True).over(upto).alias("last_value"), F.lag("event_type").over(w).alias("previous_type"))
+    at = F.row_number().over(w)
+    rows = e.join(ends, ["user_id", "_slice"])
+    return rows.select("event_id", (at + F.col("k0")).alias("turn"), F.coalesce(F.last(positive, ignorenulls=True).over(upto), F.col("v0")).alias("last_value"), F.when(at == 1, F.col("t0")).otherwise(F.lag("event_type").over(w)).alias("previous_type"))
 
 
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +186,6 @@ ORACLE = {
     "unit_counts": """WITH c AS (SELECT document_id, count(*) AS n, count(DISTINCT ordinal) AS k FROM text_units GROUP BY 1)
       SELECT document_kind, count(*) AS n_documents, count(*) FILTER (n IS NULL) AS without_units, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_units, count(*) FILTER (n > k) AS with_repeats FROM documents LEFT JOIN c USING (document_id) GROUP BY 1""",
     "reference_coverage": "SELECT canonical_id, 'item only' AS side FROM (SELECT canonical_id FROM items EXCEPT SELECT canonical_id FROM documents) UNION ALL SELECT canonical_id, 'document only' FROM (SELECT canonical_id FROM documents EXCEPT SELECT canonical_id FROM items)",
-    "session_fold": "SELECT event_id, count(*) OVER u AS turn, last_value(CASE WHEN value > 0 THEN value END IGNORE NULLS) OVER u AS last_value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_type FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+    "session_fold": "SELECT event_id, count(*) OVER u AS turn, last_value(CASE WHEN value > 0 THEN value END IGNORE NULLS) OVER u AS last_value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_type FROM events WHERE user_id IS NOT NULL WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "event_properties": "SELECT event_type, j.key AS name, count(*) AS n, count(DISTINCT props->>('$.\"' || j.key || '\"')) AS n_values FROM events, json_each(props) j GROUP BY 1, 2",
 }

@@ -27,10 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+#: Folders this process has written; ``release`` removes them.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage through a table written to the shared folder, so a lost executor costs no recomputation
     and a result that feeds several branches is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the intermediate tables written so far; call it when the results that read them are written or done with."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
