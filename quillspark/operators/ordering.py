@@ -20,7 +20,7 @@ def sliced(df: DataFrame, order: str) -> DataFrame:
     ends = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
     low, high = ends["low"] or 0, ends["high"] or 0
     place = F.floor((value - F.lit(low)).cast("double") * SLICES / F.lit(float(high - low + 1))).cast("int")
-    return df.withColumn("_slice", F.coalesce(F.least(place, F.lit(SLICES - 1)), F.lit(-1)))
+    return df.withColumn("_slice", F.when(place.isNotNull(), F.least(place, F.lit(SLICES - 1))).otherwise(-1))
 
 
 def ranked(df: DataFrame, keys: list[str], order: str, name: str, *ties: str) -> DataFrame:
