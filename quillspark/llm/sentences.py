@@ -54,10 +54,14 @@ def _mask_dots(text: Column) -> Column:
     return F.regexp_replace(out, rf"(?U)(\b(?:At|By|Around|Before|After|Until|Since|From)\s[\d:{MASK}]+\s?[ap]{MASK}m)\.", "$1" + MASK)
 
 
-def _mask_spans(text: Column, language: Column) -> Column:
-    """Marks inside quotation marks and brackets. One that closes the span is kept apart as INNER."""
-    openers = "".join("\\" + c if c in "[(" else c for c in OPENERS)
-    segments = F.regexp_extract_all(text, F.lit("|".join(SPANS) + rf"|[^{openers}]+|[{openers}]"), F.lit(0))
+#: What the span masks run over: quoted and bracketed spans, what lies between them, and openers without an end.
+_OPENERS = "".join("\\" + c if c in "[(" else c for c in OPENERS)
+SEGMENTS = "|".join(SPANS) + rf"|[^{_OPENERS}]+|[{_OPENERS}]"
+
+
+def _mask_spans(segments: Column, language: Column) -> Column:
+    """Marks inside quotation marks and brackets. One that closes the span is kept apart as INNER. ``segments`` has to be
+    a column of its own: each element looks at the one before it."""
     marks = "." + TERMINATORS
 
     def masked(x: Column, i: Column) -> Column:
@@ -67,7 +71,7 @@ def _mask_spans(text: Column, language: Column) -> Column:
         # Titles never end a sentence; nor, in Chinese, a quotation that continues the words before it.
         inside = F.rlike(x, F.lit(r"^[『《〈]")) | ((language == "zh-Hans") & F.rlike(x, F.lit(r"^[“‘「]")) & F.rlike(before, F.lit(rf"[^\s:：.{TERMINATORS}{CLOSERS}]\z")))
         kept = F.concat(body.substr(F.lit(1), F.length(body) - 2), F.lit(INNER), F.right(body, F.lit(1)))
-        return F.when(F.rlike(x, F.lit(rf"^[{openers}]")) & (F.length(x) > 1), F.when(ends & ~inside, kept).otherwise(body)).otherwise(x)
+        return F.when(F.rlike(x, F.lit(rf"^[{_OPENERS}]")) & (F.length(x) > 1), F.when(ends & ~inside, kept).otherwise(body)).otherwise(x)
 
     return F.array_join(F.transform(segments, masked), "")
 
@@ -98,9 +102,11 @@ def _cut(masked: Column, language: Column) -> Column:
 def with_ends(documents: DataFrame) -> DataFrame:
     """Adds ``spans``: start and end of every sentence, in code points of the text."""
     language = F.coalesce(F.col("language"), F.lit(""))
-    masked = documents.withColumn("_masked", _mask_dots(F.col("text")))
-    masked = masked.withColumn("_masked", _mask_spans(F.col("_masked"), language))
-    pieces = F.split(_cut(F.col("_masked"), language), CUT, -1)
+    # A column per step: what a later step uses more than once is then evaluated once.
+    out = documents.withColumn("_segments", F.regexp_extract_all(_mask_dots(F.col("text")), F.lit(SEGMENTS), F.lit(0)))
+    out = out.withColumn("_masked", _mask_spans(F.col("_segments"), language))
+    out = out.withColumn("_pieces", F.split(_cut(F.col("_masked"), language), CUT, -1))
+    pieces = F.col("_pieces")
     whole = F.transform(pieces, F.length)
     trimmed = F.transform(pieces, lambda p: F.length(F.regexp_replace(p, r"(?U)[\s\x00-\x1f]+$", "")))
     led = F.transform(pieces, lambda p: F.length(p) - F.length(F.regexp_replace(p, r"(?U)^[\s\x00-\x1f]+", "")))
@@ -111,7 +117,8 @@ def with_ends(documents: DataFrame) -> DataFrame:
         span = F.struct((acc["at"] + x["l"]).alias("start"), (acc["at"] + x["t"]).alias("end"))
         return F.struct((acc["at"] + x["w"]).alias("at"), F.when(x["t"] > 0, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return masked.withColumn("spans", F.aggregate(sizes, start, add, lambda acc: acc["spans"])).drop("_masked")
+    out = out.withColumn("_sizes", sizes)
+    return out.withColumn("spans", F.aggregate("_sizes", start, add, lambda acc: acc["spans"])).drop("_segments", "_masked", "_pieces", "_sizes")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +127,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, end_char) of every sentence of the prose kinds."""
-    return with_ends(_documents(spark, sf_dir)).select("doc_id", F.explode(F.col("spans.end")).alias("end_char"))
+    # explode() would make the optimizer test the array before it, and evaluate all of it again for that.
+    return with_ends(_documents(spark, sf_dir)).select("doc_id", F.explode_outer(F.col("spans.end")).alias("end_char")).filter("end_char is not null")
 
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document of every kind: (doc_id, ordinal, start_char, end_char, sentence)."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "language", "text").filter("text is not null")
-    rows = with_ends(documents).select("doc_id", "text", F.posexplode("spans").alias("ordinal", "s"))
+    rows = with_ends(documents).select("doc_id", "text", F.posexplode_outer("spans").alias("ordinal", "s")).filter("ordinal is not null")
     return rows.select("doc_id", "ordinal", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("sentence"))
