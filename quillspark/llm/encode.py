@@ -32,7 +32,8 @@ HOT_WORDS, HOT_CHARS = 20_000, 64
 def words_of(documents: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, word) of every word of every text."""
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    return keyed.select("doc_id", "text_key", F.posexplode("words").alias("pos", "word"))
+    # The outer form: the plain one makes the optimizer split every text twice, once to test for words.
+    return keyed.select("doc_id", "text_key", F.posexplode_outer("words").alias("pos", "word")).filter("pos is not null")
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
