@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import quillspark
+
+# Functions that run in tasks travel with them, so executors need not have this package on their path.
+cloudpickle.register_pickle_by_value(quillspark)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data set; Catalyst prunes its columns and pushes filters into the scan."""
