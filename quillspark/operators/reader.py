@@ -43,6 +43,14 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(counts, "document_id", "left").join(first, "document_id", "left").select("doc_id", F.coalesce("n_units", F.lit(0)).alias("n_units"), "last_ordinal", "opening")
 
 
+def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit of every document with its place in the document; units of equal ordinal by unit_seq."""
+    u = table(spark, sf_dir, "text_units").select("document_id", "ordinal", "unit_seq", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "document_id")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("ordinal", "unit_seq"))
+    return d.join(u, "document_id").select("doc_id", "ordinal", "unit_seq", place.alias("place"), "text")
+
+
 def parallel_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit with its counterparts: same item, same part, same ordinal, another language.
 
@@ -160,7 +168,7 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "windows": windows, "window_texts": window_texts, "read_documents": read_documents, "parallel_units": parallel_units, "missing_languages": missing_languages, "evidence_pins": evidence_pins,
+    "windows": windows, "window_texts": window_texts, "read_documents": read_documents, "document_units": document_units, "parallel_units": parallel_units, "missing_languages": missing_languages, "evidence_pins": evidence_pins,
     "pins_appended": pins_appended, "pinned_documents": pinned_documents, "evidence_groups": evidence_groups, "coverage": coverage, "orphans": orphans, "unit_counts": unit_counts,
     "reference_coverage": reference_coverage, "session_fold": session_fold, "event_properties": event_properties,
 }
@@ -174,6 +182,7 @@ ORACLE = {
     "read_documents": """WITH r AS (SELECT document_id, text, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, unit_seq) AS r FROM text_units), o AS (SELECT document_id, string_agg(text, chr(10) ORDER BY r) AS opening FROM r WHERE r <= 3 GROUP BY 1),
       c AS (SELECT document_id, count(*) AS n_units, max(ordinal) AS last_ordinal FROM text_units GROUP BY 1)
       SELECT doc_id, coalesce(n_units, 0) AS n_units, last_ordinal, opening FROM documents LEFT JOIN c USING (document_id) LEFT JOIN o USING (document_id)""",
+    "document_units": "SELECT doc_id, ordinal, unit_seq, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, unit_seq) AS place, u.text FROM documents d JOIN text_units u USING (document_id)",
     "parallel_units": r"""WITH h AS (SELECT regexp_replace(document_id, '^((?:[^:]*:){3})[^:]*', '\1') AS part, ordinal, language, min(unit_seq) AS unit_seq FROM text_units GROUP BY ALL)
       SELECT a.unit_seq, b.language AS other_language, b.unit_seq AS other_seq FROM h a JOIN h b USING (part, ordinal) WHERE a.language <> b.language""",
     "missing_languages": "SELECT canonical_id, language FROM (SELECT DISTINCT canonical_id FROM items) CROSS JOIN (SELECT unnest(['en', 'ko', 'ja', 'zh-Hans']) AS language) EXCEPT SELECT canonical_id, language FROM localizations",
