@@ -5,16 +5,25 @@ Windows never cross a document; missing ordinals leave a gap, repeated units app
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.operators import search
 from quillspark.operators.ordering import sliced
 from quillspark.session import table
 
 #: Words that mark a contrast, and those that mark a translation note.
 CONTRAST = ("not", "never", "however", "but", "instead", "않", "아니", "하지만", "그러나")
 BEFORE = AFTER = 1
+#: Units before and after a unit that is read, and a hit that is shown with its surroundings.
+WINDOW, HIT_WINDOW = 5, 3
+#: Words that suggest a role for a pin; their first match decides, all else is context.
+ROLES = (("counter", ("반례", "모순", "counter", "contradict", "however", "but", "아니")), ("translation_note", ("번역", "translation", "원문", "일본어", "중국어", "영어")))
+SOURCE_LEVEL = "L0"
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +35,29 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("center", "unit_seq", "ordinal", side.alias("side"))
 
 
+def _around(centers: DataFrame, units: DataFrame, size: int) -> DataFrame:
+    """(center, unit_seq, ordinal, side) for centers (center, d, o); the ordinals wanted are listed, so a long document
+    costs no more per unit than a short one."""
+    wanted = centers.withColumn("ordinal", F.explode(F.sequence(F.greatest(F.lit(0), F.col("o") - size), F.col("o") + size)))
+    near = units.select("document_id", "ordinal", "unit_seq").join(wanted.withColumnRenamed("d", "document_id"), ["document_id", "ordinal"])
+    side = F.when(F.col("ordinal") < F.col("o"), "before").when(F.col("ordinal") > F.col("o"), "after").otherwise("center")
+    return near.withColumn("side", side).drop("document_id", "o")
+
+
+def unit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units around every unit: same document, ordinals from five before to five after."""
+    u = table(spark, sf_dir, "text_units").filter("ordinal >= 0")
+    return _around(u.select(F.col("unit_seq").alias("center"), F.col("document_id").alias("d"), F.col("ordinal").alias("o")), u, WINDOW).select("center", "unit_seq", "ordinal", "side")
+
+
+def hit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units around each hit of the stated queries: ordinals from three before to three after."""
+    u = table(spark, sf_dir, "text_units").filter("ordinal >= 0")
+    hits = search.top(search.bm25(search._units(spark, sf_dir), search._queries(spark, sf_dir), "unicode")).select("query_id", "unit_seq")
+    centers = hits.join(u, "unit_seq").select("query_id", F.col("unit_seq").alias("center"), F.col("document_id").alias("d"), F.col("ordinal").alias("o"))
+    return _around(centers, u, HIT_WINDOW).select("query_id", "center", "unit_seq", "ordinal", "side")
+
+
 def window_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every unit with how much text surrounds it; a window per document, so work grows with the text."""
     w = W.partitionBy("document_id").orderBy("ordinal").rangeBetween(-BEFORE, AFTER)
@@ -95,6 +127,51 @@ def pinned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_document.unionByName(by_item).groupBy("doc_id").agg(F.min("how").alias("how"))
 
 
+def _quoted(c: Column) -> Column:
+    """A JSON string as Python's json.dumps writes it with ensure_ascii=False."""
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    marked = out
+    for n in range(32):
+        marked = F.replace(marked, F.lit(chr(n)), F.lit(json.dumps(chr(n))[1:-1]))
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), marked).otherwise(out), F.lit('"'))
+
+
+def unit_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pin of the whole text of every unit, with the reference's id; a unit without text cannot be pinned."""
+    u = table(spark, sf_dir, "text_units").filter("length(text) > 0").select("unit_seq", "unit_id", "document_id", "canonical_id", "title", "text")
+    hay = F.lower(T.clean_text(F.concat_ws("\n", "text", "title")))
+    role = F.lit("context")
+    for name, words in reversed(ROLES):
+        said = F.lit(False)
+        for word in words:
+            said = said | hay.contains(word)
+        role = F.when(said, name).otherwise(role)
+    u = u.withColumn("role", role).withColumn("end_char", F.length("text"))
+    or_null = lambda c: F.coalesce(_quoted(F.col(c)), F.lit("null"))
+    key = F.concat(
+        F.lit('{"document_id": '), or_null("document_id"), F.lit(', "end_char": '), F.col("end_char").cast("string"), F.lit(', "excerpt": '), _quoted(F.col("text")),
+        F.lit(', "hypothesis_ids": [], "role": "'), "role", F.lit(f'", "source_level": "{SOURCE_LEVEL}", "start_char": 0, "unit_id": '), or_null("unit_id"), F.lit("}"),
+    )
+    return u.select("unit_seq", "document_id", "canonical_id", F.concat(F.lit("E-"), F.left(F.sha2(key, 256), F.lit(12))).alias("evidence_id"), "role", "end_char", F.col("text").alias("excerpt"))
+
+
+def unit_pins_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append if absent: of the pins of all units, those whose id is not among the stored ones (every second unit's)."""
+    pins = unit_pins(spark, sf_dir).select("unit_seq", "evidence_id")
+    there = pins.filter("unit_seq % 2 = 0").select("evidence_id").distinct()
+    return pins.join(there, "evidence_id", "left_anti").groupBy("evidence_id").agg(F.min("unit_seq").alias("unit_seq"))
+
+
+def documents_of_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents pinned through any unit, or whose item is."""
+    pins = unit_pins(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id", "document_id", "canonical_id")
+    # The keys are made distinct first: one item holds a tenth of all units.
+    by_document = d.join(pins.select("document_id").distinct(), "document_id", "left_semi").select("doc_id", F.lit(1).alias("how"))
+    by_item = d.join(pins.select("canonical_id").distinct(), "canonical_id", "left_semi").select("doc_id", F.lit(2).alias("how"))
+    return by_document.unionByName(by_item).groupBy("doc_id").agg(F.min("how").alias("how"))
+
+
 def evidence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units per group of evidence: contrast, stories, other; and items found in several languages."""
     low = F.lower("text")
@@ -168,6 +245,7 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "unit_windows": unit_windows, "hit_windows": hit_windows, "unit_pins": unit_pins, "unit_pins_appended": unit_pins_appended, "documents_of_pins": documents_of_pins,
     "windows": windows, "window_texts": window_texts, "read_documents": read_documents, "document_units": document_units, "parallel_units": parallel_units, "missing_languages": missing_languages, "evidence_pins": evidence_pins,
     "pins_appended": pins_appended, "pinned_documents": pinned_documents, "evidence_groups": evidence_groups, "coverage": coverage, "orphans": orphans, "unit_counts": unit_counts,
     "reference_coverage": reference_coverage, "session_fold": session_fold, "event_properties": event_properties,
@@ -177,6 +255,8 @@ _PIN = """SELECT unit_seq, 'E-' || left(sha256('{"document_id": "' || document_i
   FROM text_units WHERE unit_seq % 100 = 0"""
 
 ORACLE = {
+    "unit_windows": "SELECT c.unit_seq AS center, u.unit_seq, u.ordinal, CASE WHEN u.ordinal < c.ordinal THEN 'before' WHEN u.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side FROM text_units u JOIN text_units c ON u.document_id = c.document_id AND u.ordinal BETWEEN c.ordinal - 5 AND c.ordinal + 5",
+    "documents_of_pins": "WITH u AS (SELECT * FROM text_units WHERE length(text) > 0) SELECT doc_id, CASE WHEN document_id IN (SELECT document_id FROM u) THEN 1 ELSE 2 END AS how FROM documents WHERE document_id IN (SELECT document_id FROM u) OR canonical_id IN (SELECT canonical_id FROM u)",
     "windows": "SELECT c.unit_seq AS center, u.unit_seq, u.ordinal, CASE WHEN u.ordinal < c.ordinal THEN 'before' WHEN u.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side FROM text_units u JOIN text_units c ON c.unit_seq % 100 = 0 AND u.document_id = c.document_id AND u.ordinal BETWEEN c.ordinal - 1 AND c.ordinal + 1",
     "window_texts": "SELECT unit_seq, count(*) OVER w AS n_units, CAST(sum(length(text)) OVER w AS BIGINT) AS n_chars FROM text_units WINDOW w AS (PARTITION BY document_id ORDER BY ordinal RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
     "read_documents": """WITH r AS (SELECT document_id, text, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, unit_seq) AS r FROM text_units), o AS (SELECT document_id, string_agg(text, chr(10) ORDER BY r) AS opening FROM r WHERE r <= 3 GROUP BY 1),
