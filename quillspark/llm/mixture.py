@@ -9,7 +9,9 @@ ones are settled before the fraction of the others is fixed, so the tokens of a
 
 The total. Without ``total_tokens`` the mixture has the largest total for which every source with text still reaches its
 share within ``max_repeats``, so shares differ from the targets only by what sources without text cannot give. With
-``total_tokens``, sources whose limit binds give all they may, and the report shows the shares that result.
+``total_tokens``, sources whose limit binds give all they may, and the report shows the shares that result. With
+``whole`` the total is all tokens of the listed sources. A scarce source makes the first total small, so the report also
+shows which part of each source's tokens, and of all of them, is used at least once.
 
 Defined results
   documents without a source, or of a source that is not listed: in no target, not in the result.
@@ -26,6 +28,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.encode import TOKENIZERS, token_counts
@@ -38,7 +41,7 @@ LARGE = 1000
 EPS = 1e-9
 
 
-def plan(targets: DataFrame, sizes: DataFrame, total_tokens: float | None = None) -> list[dict]:
+def plan(targets: DataFrame, sizes: DataFrame, total_tokens: float | None = None, whole: bool = False) -> list[dict]:
     """One entry per listed source (a handful): its tokens, factor and number of documents with text."""
     listed = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).filter("source is not null")
     stats = sizes.filter("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
@@ -47,6 +50,8 @@ def plan(targets: DataFrame, sizes: DataFrame, total_tokens: float | None = None
         r["share"] = max(0.0, r["share"] or 0.0)
         r["repeats"] = max(0, 1 if r["repeats"] is None else r["repeats"])
         r["tokens"], r["n_docs"] = r["tokens"] or 0, r["n_docs"] or 0
+    if whole and total_tokens is None:
+        total_tokens = float(sum(r["tokens"] for r in rows))
     limits = [r["tokens"] * r["repeats"] / r["share"] for r in rows if r["tokens"] and r["share"] and r["repeats"]]
     total = total_tokens if total_tokens is not None else min(limits, default=0.0)
     for r in rows:
@@ -115,10 +120,10 @@ def _rounded(known: DataFrame, rows: list[dict], seed: int) -> DataFrame:
     return out.select("doc_id", "source", "n_tokens", (F.col("base") + F.round("p").cast("int")).alias("copies"))
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7) -> DataFrame:
+def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, whole: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of every document of a listed source; ``sizes``: (doc_id, source, n_tokens)."""
     spark = sizes.sparkSession
-    rows = plan(targets, sizes, total_tokens)
+    rows = plan(targets, sizes, total_tokens, whole)
     large = spark.createDataFrame([(r["source"], max(1.0, r["factor"] * r["tokens"] / LARGE)) for r in rows], "source string, large double")
     known = sizes.join(F.broadcast(large), "source")
     # Large documents are settled first. What they give more or less than expected, the others make up for: on average
@@ -137,11 +142,13 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
 
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """The shares really reached, a row per listed source."""
-    per = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_repeats"))
+    per = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_repeats"), F.sum(F.when(F.col("copies") > 0, F.col("n_tokens")).otherwise(0)).alias("used_tokens"))
     total = mixed.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total")).first()["total"] or 0
     listed = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    joined = listed.join(per, "source", "left").na.fill(0, ["n_docs", "available_tokens", "mix_tokens", "n_copies", "most_repeats"])
+    joined = listed.join(per, "source", "left").na.fill(0, ["n_docs", "available_tokens", "mix_tokens", "n_copies", "most_repeats", "used_tokens"])
     reached = F.col("mix_tokens") / F.lit(float(total)) if total else F.lit(0.0)
+    kept = F.sum("used_tokens").over(W.partitionBy()) / F.sum("available_tokens").over(W.partitionBy())
+    joined = joined.withColumn("kept_share", F.when(F.col("available_tokens") > 0, F.col("used_tokens") / F.col("available_tokens")).otherwise(0.0)).withColumn("kept_of_all", F.coalesce(kept, F.lit(0.0)))
     return joined.withColumn("reached_share", reached).withColumn("difference", F.col("reached_share") - F.col("target_share"))
 
 
@@ -160,3 +167,14 @@ def p7_shares(spark: SparkSession, sf_dir: str, total_tokens: float | None = Non
     """The report: each source's target, limit, sizes and the share it really reached."""
     targets = table(spark, sf_dir, "mix_targets")
     return report(materialize(mixture(_sizes(spark, sf_dir, tokenizers), targets, total_tokens)), targets)
+
+
+def p7_whole(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The mixture whose total is all tokens of the listed sources: limits bind, scarce sources fall short."""
+    return mixture(_sizes(spark, sf_dir, tokenizers), table(spark, sf_dir, "mix_targets"), whole=True)
+
+
+def p7_whole_shares(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The report of that mixture."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return report(materialize(mixture(_sizes(spark, sf_dir, tokenizers), targets, whole=True)), targets)
