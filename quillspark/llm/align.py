@@ -26,8 +26,8 @@ from quillspark.session import materialize, table
 
 #: Lines at the same relative height, give or take so many, are where translations are learned from.
 BAND = 1
-#: Least meetings of two words, least gain over chance, and translations kept per word.
-MEETINGS, GAIN, KEPT = 3, 0.12, 3
+#: Least meetings of two words, least gain over chance. All translations that reach them count, by their score.
+MEETINGS, GAIN = 3, 0.12
 #: Least share of a line's weight that must be translated; least share of a text's lines that must be linked.
 LINKED, MOVED, RELATED = 0.38, 0.6, 0.3
 #: Least mean share of translated weight over a pair's links; real translations stay well above it.
@@ -87,10 +87,7 @@ def lexicon(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     # Few meetings prove little: the gain is lowered by its own uncertainty.
     s = s - F.sqrt(F.col("n_y") / F.col("n") / F.col("n_x"))
     scored = scored.select("tongues", "x", "y", "n_x", "n", s.alias("s"), (F.col("c") / F.col("n_y") - F.col("n_x") / F.col("n")).alias("back")).filter((F.col("s") >= GAIN) & (F.col("back") > 0))
-    rank = F.row_number().over(W.partitionBy("tongues", "x").orderBy(F.desc(F.col("s") * F.sqrt("back")), "y"))
-    kaer = F.row_number().over(W.partitionBy("tongues", "y").orderBy(F.desc(F.col("s") * F.sqrt("back")), "x"))
-    kept = scored.withColumn("r", rank).filter(F.col("r") <= KEPT).withColumn("q", kaer).filter(F.col("q") <= KEPT * 2)
-    return kept.select("tongues", "x", "y", "s", F.log(F.col("n") / F.col("n_x")).alias("rarity"))
+    return scored.select("tongues", "x", "y", "s", F.log(F.col("n") / F.col("n_x")).alias("rarity"))
 
 
 def cells(pairs: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
