@@ -113,11 +113,10 @@ def cells(pairs: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
     y = wy.select("doc_x", "doc_y", "j", F.col("w").alias("y"), F.col("here").alias("hy"), F.col("weight").alias("vy"))
     by_word = x.join(told, ["tongues", "x"]).join(y, ["doc_x", "doc_y", "y"])
     same = x.join(y.withColumn("x", F.col("y")), ["doc_x", "doc_y", "x"]).filter(F.col("x").startswith("#")).select("tongues", "doc_x", "doc_y", "i", "x", "hx", "vx", "y", "j", "hy", "vy", F.lit(1.0).alias("rx"), F.lit(1.0).alias("ry"))
-    columns = ["doc_x", "doc_y", "i", "j", "x", "y", "vx", "vy", "rx", "ry", "hx", "hy"]
-    # Noise: words so common in both texts that they link everything with everything.
+    columns = ["doc_x", "doc_y", "i", "j", "x", "y", "vx", "vy", "rx", "ry"]
+    # Words common in both texts link much, but with little weight; none is left out, as their weight is in the totals.
     sizes = pairs.select("doc_x", "doc_y", "n_x", "n_y")
     points = by_word.select(*columns).unionByName(same.select(*columns)).join(sizes, ["doc_x", "doc_y"])
-    points = points.filter(F.col("hx") * F.col("hy") <= 64 + 4 * F.greatest("n_x", "n_y"))
     of_x = points.groupBy("doc_x", "doc_y", "n_x", "n_y", "i", "j", "x").agg((F.max("rx") * F.first("vx")).alias("g")).groupBy("doc_x", "doc_y", "n_x", "n_y", "i", "j").agg(F.sum("g").alias("gx"))
     of_y = points.groupBy("doc_x", "doc_y", "i", "j", "y").agg((F.max("ry") * F.first("vy")).alias("g")).groupBy("doc_x", "doc_y", "i", "j").agg(F.sum("g").alias("gy"))
     all_x = wx.groupBy("doc_x", "doc_y", "i").agg(F.sum("weight").alias("tx"))

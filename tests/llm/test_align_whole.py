@@ -22,3 +22,12 @@ def test_all_renderings_of_a_word(spark):
     lines = align.line_table(spark.createDataFrame(rows, SCHEMA))
     words = align.lexicon(align.pair_table(lines), lines)
     assert {r["y"] for r in words.filter("x = 'alpha'").collect()} >= {"rendera", "renderb", "renderc", "renderd"}
+
+
+def test_words_in_every_line_of_long_texts(spark):
+    n = 40
+    lines = spark.createDataFrame([(d, i, n, [w]) for d, w in ((1, "name"), (2, "eman")) for i in range(n)], "doc_id long, line int, n_lines int, words array<string>")
+    pairs = spark.createDataFrame([(1, 2, "en|xx", n, n)], "doc_x long, doc_y long, tongues string, n_x int, n_y int")
+    words = spark.createDataFrame([("en|xx", "name", "eman", 0.5, 1.0)], "tongues string, x string, y string, s double, rarity double")
+    got = align.cells(pairs, lines, words).collect()
+    assert len(got) == n * n and all(abs(r["a"] - 1) < 1e-9 and abs(r["b"] - 1) < 1e-9 for r in got)
