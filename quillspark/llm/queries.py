@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_lexicon": align.p2_lexicon,
     "p3_found": sentences.p3_found,
     "p3_sentences": sentences.p3_sentences,
+    "p3_units": sentences.p3_units,
     "p5_found": copies.p5_found,
     "p5_records": copies.p5_records,
     "p6_ids": encode.p6_ids,

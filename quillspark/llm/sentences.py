@@ -8,7 +8,10 @@ Defined results
   null, empty or blank text: no sentence.
   private-use characters in the text itself stay in the sentences; they never count as marks.
   a document that occurs twice gives its sentences twice.
-  languages without rules of their own are read like English, with the wide terminators of the other scripts.
+  languages without rules of their own are read like English, with the terminators of all scripts.
+  Thai, which has no mark at the end of a sentence, is cut at spaces between Thai letters.
+  texts, lines and quotations of any length: every pattern is possessive or starts at the head of its run only, so the
+  work grows with the text (sums of lengths with its power 1.5) and no pattern recurses per character.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ KINDS = ("detail", "volume", "story", "avatar_stories", "avatar_quotes")
 # Placeholders. MASK: a mark that ends nothing; INNER: a mark inside quotation marks or brackets; CUT: a boundary;
 # OPEN: a straight quotation mark that opens; SPARE: what stands for these characters if the text has them.
 MASK, INNER, CUT, SPARE, OPEN = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
-TERMINATORS = "!?。．！？｡⁉‼⁇⁈"
+#: Marks that end a sentence wherever they stand: East Asian, Indic dandas, Arabic and Urdu, Ethiopic, Armenian, Burmese, Khmer.
+WIDE = "。．！？｡⁉‼⁇⁈।॥؟۔።፧։။។៕"
+TERMINATORS = "!?" + WIDE
 CLOSERS = r"”’\"」』》〉）)\]】〕"
-#: Quoted and bracketed spans within a line; an apostrophe inside a word closes nothing.
+#: Quoted and bracketed spans within a line; an apostrophe inside a word closes nothing, unless nothing else does.
 SPANS = (
-    r"“[^“”\n\r]*”", r"‘(?:[^‘’\n\r]|’(?=\p{L}))*’", r'"[^"\n\r]*"', r"「(?:[^「」\n\r]|「[^「」\n\r]*」)*」", r"『[^『』\n\r]*』",
+    r"“[^“”\n\r]*”", r"‘(?:[^‘’\n\r]++|’(?=\p{L}))*+’", r"‘[^‘\n\r]*’", r'"[^"\n\r]*"', r"「(?:[^「」\n\r]++|「[^「」\n\r]*+」)*+」", r"『[^『』\n\r]*』",
     r"《[^《》\n\r]*》", r"〈[^〈〉\n\r]*〉", r"（[^（）\n\r]*）", r"\([^()\n\r]*\)", r"\[[^\[\]\n\r]*\]", r"【[^【】\n\r]*】", r"〔[^〔〕\n\r]*〕",
 )
 OPENERS = "“‘\"「『《〈（([【〔"
@@ -35,6 +40,17 @@ OPENERS = "“‘\"「『《〈（([【〔"
 # Abbreviations that never end a sentence, and those that do not before a number.
 TITLES = "Dr|Mr|Mrs|Ms|Prof|St|Gen|Brig|Sgt|Capt|Lt|Col|Maj|Adm|Cmdr|Rev|Hon|Mt|Ft|Messrs|Pres|Gov|Sen|Rep|Jr|Sr|approx|ca|cf|vs|viz|ret|al|esp|incl|resp|Ver|ver"
 BEFORE_NUMBER = "No|Nos|no|nos|Vol|Vols|vol|vols|p|pp|P|Pp|Fig|Figs|fig|figs|Ch|ch|Sec|sec|Art|art|Eq|eq|Pt|pt|c|v|Nr|nr"
+#: Further abbreviations by language; those of dates and counts only where a number or name goes on.
+ABBREVIATIONS = {
+    "de": "z|B|d|h|u|a|bzw|usw|etc|ggf|evtl|vgl|Nr|Abb|Str|Hr|Fr|Dr|Prof|sog|ca|inkl|exkl|bspw|zzgl|geb|gest|Jh|Chr|Mio|Mrd|Bd|Hrsg",
+    "fr": "M|MM|Mme|Mlle|Mgr|Me|av|apr|env|ex|fig|vol|chap|cf|art|éd|boul|tél",
+    "es": "Sr|Sra|Srta|Dr|Dra|Ud|Uds|D|Dña|pág|págs|núm|Av|ej|aprox|tel|vol|cap|art",
+    "it": "Sig|Sigg|Dott|Prof|Ing|Avv|ecc|pag|cap|art|es|tel|vol",
+    "pt": "Sr|Sra|Dr|Dra|Exmo|pág|núm|Av|ex|aprox|tel|vol|cap|art",
+    "ru": "г|гг|в|вв|т|д|п|н|э|см|рис|стр|ул|им|др|пр|тыс|млн|млрд|проф|акад",
+}
+#: What follows a German ordinal with its dot.
+AFTER_ORDINAL = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jahrtausend|Kapitel|Auflage|Stock|Klasse|Platz|Mal|Weltkrieg"
 
 SAID_KO = r"(?:말했|물었|외쳤|대답했|속삭였|중얼거렸|명령했|명했|생각했|소리쳤|되물었|덧붙였)(?:다|습니다|어요|지)"
 SAID_JA = r"(?:命じた|言った|尋ねた|叫んだ|答えた|つぶやいた|呟いた|ささやいた|囁いた|思った|問うた|問いかけた|言いました|尋ねました)"
@@ -54,6 +70,17 @@ def _mask_dots(text: Column) -> Column:
     return F.regexp_replace(out, rf"(?U)(\b(?:At|By|Around|Before|After|Until|Since|From)\s[\d:{MASK}]+\s?[ap]{MASK}m)\.", "$1" + MASK)
 
 
+def _mask_own(dots: Column, language: Column) -> Column:
+    """The abbreviations and ordinals of a language of its own. ``dots`` has to be a column of its own."""
+    tongue, own = F.lower(F.split_part(language, F.lit("-"), F.lit(1))), dots
+    for name, words in ABBREVIATIONS.items():
+        short = F.regexp_replace(dots, rf"(?U)(?<![\p{{L}}\p{{N}}])({words})\.(?!\s*$|\s*\R)", "$1" + MASK)
+        if name == "de":
+            short = F.regexp_replace(short, rf"(?U)(?<![\p{{L}}\p{{N}}])(\d{{1,3}})\.(?=\s?(?:{AFTER_ORDINAL})\b)", "$1" + MASK)
+        own = F.when(tongue == name, short).otherwise(own)
+    return own
+
+
 #: What the span masks run over: quoted and bracketed spans, what lies between them, and openers without an end.
 _OPENERS = "".join("\\" + c if c in "[(" else c for c in OPENERS)
 SEGMENTS = "|".join(SPANS) + rf"|[^{_OPENERS}]+|[{_OPENERS}]"
@@ -66,7 +93,7 @@ def _mask_spans(segments: Column, language: Column) -> Column:
 
     def masked(x: Column, i: Column) -> Column:
         body = F.regexp_replace(F.translate(x, marks, MASK * len(marks)), '^"', OPEN)
-        ends = F.rlike(x, F.lit(rf"[.{TERMINATORS}]+[{CLOSERS}]$"))
+        ends = F.rlike(F.right(x, F.lit(2)), F.lit(rf"[.{TERMINATORS}][{CLOSERS}]$"))
         before = F.coalesce(F.get(segments, i - 1), F.lit("\n"))
         # Titles never end a sentence; nor, in Chinese, a quotation that continues the words before it.
         inside = F.rlike(x, F.lit(r"^[『《〈]")) | ((language == "zh-Hans") & F.rlike(x, F.lit(r"^[“‘「]")) & F.rlike(before, F.lit(rf"[^\s:：.{TERMINATORS}{CLOSERS}]\z")))
@@ -78,16 +105,18 @@ def _mask_spans(segments: Column, language: Column) -> Column:
 
 def _cut(masked: Column, language: Column) -> Column:
     """The masked text with a CUT after every sentence."""
-    wide = "。．！？｡⁉‼⁇⁈"
+    wide = WIDE
     out = F.regexp_replace(masked, r"\R", "$0" + CUT)
     # Wide terminators end a sentence wherever they stand.
-    out = F.regexp_replace(out, rf"[{wide}!?]*[{wide}][{wide}!?{MASK}]*[{CLOSERS}]*", "$0" + CUT)
+    # Every run of marks is tried from its head only: a later start could not end elsewhere.
+    out = F.regexp_replace(out, rf"(?<![{wide}!?])[{wide}!?]*[{wide}][{wide}!?{MASK}]*[{CLOSERS}]*", "$0" + CUT)
     # Narrow ones need something that can begin a sentence after them.
     begin = rf"(?=\s*$|\s*\R|\s+[^\s\p{{Ll}}]|[\p{{Lu}}\p{{Lo}}{OPEN}{OPENERS.replace('[', '').replace('(', '')}(\[<])"
-    dots = F.regexp_replace(out, rf"(?U)[.!?]+(?:{MASK}(?=\s))?[{CLOSERS}]*{begin}", "$0" + CUT)
+    dots = F.regexp_replace(out, rf"(?U)(?<![.!?])[.!?]+(?:{MASK}(?=\s))?[{CLOSERS}]*{begin}", "$0" + CUT)
     dots = F.regexp_replace(dots, r"[!?][" + CLOSERS + r"]*(?=\d)|(?<=\p{Ll})\.(?=\d)", "$0" + CUT)
-    marks = F.regexp_replace(out, rf"[!?]+[{CLOSERS}]*(?![!?{CLOSERS}])", "$0" + CUT)
-    out = F.when(language.isin("ja", "zh-Hans"), marks).otherwise(dots)
+    marks = F.regexp_replace(out, rf"(?<![!?])[!?]+[{CLOSERS}]*(?![!?{CLOSERS}])", "$0" + CUT)
+    thai = F.regexp_replace(dots, r"(?<=[\u0e01-\u0e45\u0e47-\u0e4e]) +(?=[\u0e01-\u0e45])", "$0" + CUT)
+    out = F.when(language.isin("ja", "zh-Hans"), marks).when(language == "th", thai).otherwise(dots)
     # A closing mark after a closed sentence, unless its clause of saying or asking, or a particle, follows.
     closed = rf"{INNER}[{CLOSERS}]+(?![{CLOSERS}.{TERMINATORS}、，,;；:：{CUT}])"
     stop = rf"[.{TERMINATORS}{MASK}{CUT}\n\r]|$"
@@ -99,26 +128,66 @@ def _cut(masked: Column, language: Column) -> Column:
     return F.when(language == "ko", cut(ko)).when(language == "ja", cut(ja)).when(language == "zh-Hans", cut(zh)).otherwise(cut(en))
 
 
-def with_ends(documents: DataFrame) -> DataFrame:
-    """Adds ``spans``: start and end of every sentence, in code points of the text."""
+def _blocked(sizes: str) -> Column:
+    """Sentences in blocks: start and length of each block, its first ordinal, and the start and end of its sentences.
+
+    A running sum kept in an array copies it at every step; over blocks of about as many pieces as there are blocks the
+    copies stay small."""
+    step = F.expr(f"greatest(1, cast(ceil(sqrt(size({sizes}))) as int))")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(sizes) - 1), step), lambda i: F.slice(sizes, i + 1, step))
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+    blank = F.struct(F.lit(0).alias("size"), spans.alias("spans"))
+
+    def add(acc: Column, x: Column) -> Column:
+        span = F.struct((acc["size"] + x["l"]).alias("start"), (acc["size"] + x["t"]).alias("end"))
+        return F.struct((acc["size"] + x["w"]).alias("size"), F.when(x["t"] > 0, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    return F.transform(parts, lambda part: F.aggregate(part, blank, add))
+
+
+def _placed(blocks: str) -> Column:
+    """The blocks with where each begins: (at, first, size, spans)."""
+    start = F.expr("struct(0 as at, 0 as first, cast(array() as array<struct<at:int,first:int>>) as heads)")
+
+    def add(acc: Column, b: Column) -> Column:
+        head = F.struct(acc["at"].alias("at"), acc["first"].alias("first"))
+        return F.struct((acc["at"] + b["size"]).alias("at"), (acc["first"] + F.size(b["spans"])).alias("first"), F.concat(acc["heads"], F.array(head)).alias("heads"))
+
+    heads = F.aggregate(blocks, start, add, lambda acc: acc["heads"])
+    return F.zip_with(blocks, heads, lambda b, h: F.struct(h["at"].alias("at"), h["first"].alias("first"), b["size"].alias("size"), b["spans"].alias("spans")))
+
+
+def with_blocks(documents: DataFrame) -> DataFrame:
+    """Adds ``blocks``: runs of neighbouring sentences, placed in code points of the text (spans count from their block)."""
     language = F.coalesce(F.col("language"), F.lit(""))
     # A column per step: what a later step uses more than once is then evaluated once.
-    out = documents.withColumn("_segments", F.regexp_extract_all(_mask_dots(F.col("text")), F.lit(SEGMENTS), F.lit(0)))
+    out = documents.withColumn("_dots", _mask_dots(F.col("text")))
+    out = out.withColumn("_segments", F.regexp_extract_all(_mask_own(F.col("_dots"), language), F.lit(SEGMENTS), F.lit(0)))
     out = out.withColumn("_masked", _mask_spans(F.col("_segments"), language))
     out = out.withColumn("_pieces", F.split(_cut(F.col("_masked"), language), CUT, -1))
     pieces = F.col("_pieces")
     whole = F.transform(pieces, F.length)
-    trimmed = F.transform(pieces, lambda p: F.length(F.regexp_replace(p, r"(?U)[\s\x00-\x1f]+$", "")))
+    trimmed = F.transform(pieces, lambda p: F.length(F.regexp_replace(p, r"(?U)(?<![\s\x00-\x1f])[\s\x00-\x1f]+$", "")))
     led = F.transform(pieces, lambda p: F.length(p) - F.length(F.regexp_replace(p, r"(?U)^[\s\x00-\x1f]+", "")))
-    sizes = F.arrays_zip(whole.alias("w"), trimmed.alias("t"), led.alias("l"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    out = out.withColumn("_sizes", F.arrays_zip(whole.alias("w"), trimmed.alias("t"), led.alias("l")))
+    out = out.withColumn("_blocks", _blocked("_sizes"))
+    return out.withColumn("blocks", _placed("_blocks")).drop("_dots", "_segments", "_masked", "_pieces", "_sizes", "_blocks")
 
-    def add(acc: Column, x: Column) -> Column:
-        span = F.struct((acc["at"] + x["l"]).alias("start"), (acc["at"] + x["t"]).alias("end"))
-        return F.struct((acc["at"] + x["w"]).alias("at"), F.when(x["t"] > 0, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    out = out.withColumn("_sizes", sizes)
-    return out.withColumn("spans", F.aggregate("_sizes", start, add, lambda acc: acc["spans"])).drop("_segments", "_masked", "_pieces", "_sizes")
+def with_ends(documents: DataFrame) -> DataFrame:
+    """Adds ``spans``: start and end of every sentence, in code points of the text."""
+    spans = F.transform("blocks", lambda b: F.transform(b["spans"], lambda s: F.struct((b["at"] + s["start"]).alias("start"), (b["at"] + s["end"]).alias("end"))))
+    return with_blocks(documents).withColumn("spans", F.flatten(spans)).drop("blocks")
+
+
+def sentences_of(texts: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, ordinal, start_char, end_char, sentence) of every sentence of (*keys, language, text).
+
+    A sentence is taken from its block and the block from the text, so long texts are not read again for each."""
+    rows = with_blocks(texts.filter("text is not null")).select(*keys, "text", F.explode_outer("blocks").alias("b")).filter("b is not null")
+    rows = rows.select(*keys, "b.at", "b.first", "b.spans", F.expr("substring(text, b.at + 1, b.size)").alias("part"))
+    rows = rows.select(*keys, "at", "first", "part", F.posexplode_outer("spans").alias("k", "s")).filter("k is not null")
+    return rows.select(*keys, (F.col("first") + F.col("k")).alias("ordinal"), (F.col("at") + F.col("s.start")).alias("start_char"), (F.col("at") + F.col("s.end")).alias("end_char"), F.expr("substring(part, s.start + 1, s.end - s.start)").alias("sentence"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +202,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document of every kind: (doc_id, ordinal, start_char, end_char, sentence)."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "language", "text").filter("text is not null")
-    rows = with_ends(documents).select("doc_id", "text", F.posexplode_outer("spans").alias("ordinal", "s")).filter("ordinal is not null")
-    return rows.select("doc_id", "ordinal", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("sentence"))
+    return sentences_of(table(spark, sf_dir, "documents").select("doc_id", "language", "text"), "doc_id")
+
+
+def p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every text unit: (unit_seq, ordinal, start_char, end_char, sentence)."""
+    return sentences_of(table(spark, sf_dir, "text_units").select("unit_seq", "language", "text"), "unit_seq")

@@ -54,3 +54,37 @@ def test_nothing_lost(spark):
     for doc, text in texts.items():
         kept = "".join(s for _, s in sorted(pieces.get(doc, [])))
         assert "".join(kept.split()) == "".join(c for c in (text or "").replace("\x1c", "") if not c.isspace()) or any(ord(c) < 32 for c in text)
+
+
+SCRIPTS = [
+    ("hi", ["यह पहला वाक्य है।", "दूसरा यहाँ है।", "तीसरा कौन सा है?"], " "),
+    ("ur", ["یہ پہلا جملہ ہے۔", "کیا یہ دوسرا ہے؟"], " "),
+    ("ar", ["هذه جملة أولى.", "هل هذه ثانية؟", "نعم."], " "),
+    ("am", ["ሰላም ነው።", "ደህና ነኝ።"], " "),
+    ("hy", ["Առաջին նախադասություն։", "Երկրորդը։"], " "),
+    ("my", ["ပထမ။", "ဒုတိယ။"], " "),
+    ("th", ["วันนี้อากาศดี", "เราไปตลาดกัน"], " "),
+    ("de", ["Am 3. Mai kam z.B. Herr Dr. Kade.", "Das 19. Jahrhundert war lang.", "Er ging usw. weiter."], " "),
+    ("fr", ["M. Kade est venu av. J.-C. ou plus tard.", "Il est parti."], " "),
+    ("es", ["El Sr. Kade llegó ayer.", "La Sra. Mora no."], " "),
+]
+
+
+@pytest.mark.parametrize("case", range(len(SCRIPTS)))
+def test_scripts(spark, case):
+    language, parts, gap = SCRIPTS[case]
+    text = gap.join(parts)
+    df = spark.createDataFrame([(1, language, text)], "doc_id long, language string, text string")
+    assert [text[s.start : s.end] for s in sentences.with_ends(df).first()["spans"]] == parts
+
+
+def test_long_texts(spark):
+    n = 1_000_000
+    spans = ["「" + "あ" * n + "」", "‘" + "a b " * (n // 4) + "’", "‘" + "don’t " * (n // 6) + "’", "“" + "Ab. " * (n // 4) + "”", '"' + "ab. " * (n // 4) + '"', "『" + "あ。" * (n // 2) + "』", "（" + "あ。" * (n // 2) + "）", "(" + "!" * n + ")", "[" + "x. " * (n // 3) + "]", "「" + "「あ。」い" * (n // 5) + "」"]
+    runs = ["A" + " " * n + "b", "!" * n + "a", "！" * n + "a", "." + ")" * n + "x", "漢" * n, "ab." * (n // 3), "😀a" * (n // 2)]
+    texts = spans + runs
+    df = spark.createDataFrame([(i, language, x) for i, x in enumerate(texts) for language in ("en", "ja")], "doc_id long, language string, text string").repartition(8)
+    got = sentences.sentences_of(df, "doc_id", "language").groupBy("doc_id", "language").count().collect()
+    assert len(got) == 2 * len(texts) and all(r["count"] == 1 for r in got if r.doc_id < len(spans))
+    many = spark.createDataFrame([(1, "en", "Ab cd. " * 100_000)], "doc_id long, language string, text string")
+    assert sentences.with_ends(many).selectExpr("size(spans) as k").first().k == sentences.sentences_of(many, "doc_id").count() == 100_000
