@@ -9,6 +9,8 @@ Defined results
   without both kinds of weak labels (tiny tables) the rules' own score is used instead of the trees.
   pages without a host are not smoothed; neither is a host that has only a few pages (its rate is shrunk to the mean).
   rows repeated with the same doc_id: one row.
+  texts of any length, also dotted or unspaced ones: the work grows with the text; an address is what the rules of domain
+  names allow (labels of at most 63 characters, at most 127 of them).
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.skew import join_groups
 from quillspark.session import materialize, table
 
 KINDS = ("page", "readable")
 #: The bound of the labelled sample that the trees are fitted to, and the size of the bag.
 SAMPLE_ROWS, TREES, DEPTH, SEED = 20_000, 25, 6, 11
 #: Pages that a host needs before its own rate weighs as much as the mean, and the weight of the smoothing.
-HOST_PRIOR, HOST_WEIGHT, SALTS = 20.0, 0.5, 16
+HOST_PRIOR, HOST_WEIGHT = 20.0, 0.5
 
-ADDRESS = r"(?:https?:/?/?\S*?)?(?:[\p{L}\p{N}-]+\.)+[a-z]{2,}(?:/[\w/%?=&.#-]*)?"
+ADDRESS = r"(?:https?:/?/?\S{0,300}?)?(?:[\p{L}\p{N}-]{1,63}+\.){1,127}[a-z]{2,}(?:/[\w/%?=&.#-]*)?"
 LINK = rf"\[([^\[\]\n]*)\]\({ADDRESS}\)"
 TAG = r"[#＃][^\s#＃,，、|]+"
 STOP = r"[.!?。！？｡．⁉…]"
@@ -48,11 +51,12 @@ def with_features(pages: DataFrame) -> DataFrame:
     tokens = lambda x: F.size(F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0)))
     out = out.withColumn("_prose", F.filter("_pieces", lambda x: ~F.rlike(x, F.lit(r"[#＃|·★☆»]")) & (tokens(x) >= F.when(F.rlike(x, F.lit(STOP)), 4).otherwise(6)) & (marks(x) * 6 <= tokens(x) + 6)))
     length = F.aggregate(F.transform("_prose", lambda x: F.length(F.regexp_replace(x, r"(?U)\s+", "")).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    trigrams = F.expr("transform(sequence(0, greatest(0, size(_tokens) - 3)), i -> array_join(slice(_tokens, i + 1, 3), ' '))")
-    out = out.withColumn("_grams", trigrams)
+    # Elements are read by place: a slice of an array inside a lambda copies all of it.
+    trigrams = lambda c: F.expr(f"transform(sequence(0, greatest(0, size({c}) - 3)), i -> concat_ws(' ', get({c}, i), get({c}, i + 1), get({c}, i + 2)))")
+    out = out.withColumn("_grams", trigrams("_tokens"))
     # The same over different lines only: a refrain repeats whole lines, a stuffed text repeats words within them.
     out = out.withColumn("_own", F.regexp_extract_all(F.lower(F.array_join(F.array_distinct(F.split("_bare", r"\R")), "\n")), F.lit(TOKEN), F.lit(0)))
-    out = out.withColumn("_own", F.expr("transform(sequence(0, greatest(0, size(_own) - 3)), i -> array_join(slice(_own, i + 1, 3), ' '))"))
+    out = out.withColumn("_own", trigrams("_own"))
     lines = F.filter(F.split("_bare", r"\R"), lambda x: F.rlike(x, F.lit(r"\S")))
     out = out.withColumn("_lines", lines).withColumn("_k", F.greatest(F.lit(1), F.size("_lines")).cast("double"))
     sorted_tokens = F.array_sort("_tokens")
@@ -94,7 +98,7 @@ WEAK = """
 
 def judged(pages: DataFrame) -> DataFrame:
     """(doc_id, host, p): the trees' probability that each page is spam."""
-    featured = materialize(with_features(pages).withColumn("label", F.expr(WEAK)))
+    featured = materialize(with_features(pages).withColumn("label", F.expr(WEAK)).select("doc_id", "host", "label", *FEATURES))
     labelled = featured.filter("label <> 0.5")
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2 or min(counts.values()) < 3:
@@ -112,15 +116,14 @@ def judged(pages: DataFrame) -> DataFrame:
 
 def smoothed(pages: DataFrame) -> DataFrame:
     """Adds ``score``: p moved, on the log-odds scale, by what its host's spam rate says beyond the mean."""
-    pages = materialize(pages.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
+    pages = materialize(pages)
     mean = pages.agg(F.avg("p")).first()[0] or 0.0
-    per_host = pages.filter("host is not null").groupBy("host").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n"))
-    rates = per_host.select("host", ((F.col("s") + HOST_PRIOR * mean) / (F.col("n") + HOST_PRIOR)).alias("rate"))
-    # One host may hold a third of all pages: its rate is repeated per salt, and its pages are spread over the salts.
-    rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    per_host = pages.filter("host is not null").groupBy("host").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("host_pages"))
+    rates = per_host.select("host", "host_pages", ((F.col("s") + HOST_PRIOR * mean) / (F.col("host_pages") + HOST_PRIOR)).alias("rate"))
     odds = lambda c: F.log(F.greatest(F.lit(0.01), F.least(F.lit(0.99), c)) / (1 - F.greatest(F.lit(0.01), F.least(F.lit(0.99), c))))
     shift = F.when(F.col("rate").isNotNull(), odds(F.col("rate")) - odds(F.lit(float(mean)))).otherwise(0.0)
-    joined = pages.join(rates, ["host", "salt"], "left")
+    # One host may hold a third of all pages.
+    joined = join_groups(pages.select("doc_id", "host", "p"), rates, "host", "host_pages", "doc_id", "left")
     return joined.select("doc_id", "host", "p", (1 / (1 + F.exp(-(odds(F.col("p")) + HOST_WEIGHT * shift)))).alias("score"))
 
 

@@ -58,3 +58,20 @@ def test_edges(spark):
     rows = spam.with_features(df).collect()
     assert len(rows) == len(texts) and all(r[f] is not None for r in rows for f in spam.FEATURES)
     assert spam.smoothed(spam.judged(df.filter(F.lit(False)))).count() == 0
+
+
+def test_long_texts(spark):
+    n = 20_000
+    texts = ["ab." * n, "a1." * n, "漢" * n, "a" * n, "http:" * n, "#" * n, "word " * n, "다 " * n, "a.b-" * n, "[x](" * n, "!" * n + "a", " " * n + "a", "😀a" * n]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, host string").repartition(8)
+    rows = spam.with_features(df).collect()
+    assert len(rows) == len(texts) and all(r[f] is not None for r in rows for f in spam.FEATURES)
+
+
+def test_hot_host(spark):
+    from quillspark.llm import skew
+
+    members = spark.range(5000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('h', id)) as host", "'x' as n")
+    groups = members.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    got = skew.join_groups(members, groups, "host", "size", "doc_id", hot_rows=100)
+    assert got.columns == ["host", "doc_id", "n", "size"] and got.count() == 5000 and got.filter("size = 1667").count() == 1667
