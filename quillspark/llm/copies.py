@@ -16,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.skew import join_groups
 from quillspark.session import materialize, table
 
 #: Everything that is neither letter, combining mark nor digit: white space, punctuation, symbols, controls.
 SET_ASIDE = r"[^\p{L}\p{M}\p{N}]+"
-#: Salts for joining the members of a group to it; a group with a third of all rows is spread over that many tasks.
-SALTS = 32
 
 
 def leaf(text: Column) -> Column:
@@ -44,25 +43,24 @@ def with_root_digest(documents: DataFrame) -> DataFrame:
     return out.withColumn("root", F.sha2(F.concat_ws("/", F.coalesce("language", F.lit("")), "node", body), 256))
 
 
-def _salted(groups: DataFrame) -> DataFrame:
-    """Groups repeated for every salt; they carry ids and digests only, never text."""
-    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def copy_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, first_doc_id, n_copies) of every document that has at least one copy, the first included."""
-    rooted = with_root_digest(documents).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # Every text is digested once; ids and digests are all that is kept of it.
+    rooted = materialize(with_root_digest(documents).select("doc_id", "root"))
     # By digest alone: counts are combined before the shuffle, so no task sees a whole group.
-    repeated = rooted.groupBy("root").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("root")
-    members = rooted.join(_salted(repeated), ["root", "salt"])
+    repeated = rooted.groupBy("root").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("root", "size")
+    wanted = materialize(join_groups(rooted, repeated, "root", "size", "doc_id").distinct())
+    # Only documents whose digest occurs again are read and normalised a second time, for the full comparison.
+    again = with_root_digest(documents.join(wanted.select("doc_id"), "doc_id", "left_semi"))
     structure = F.concat_ws("\u0001", F.coalesce("language", F.lit("")), "node", F.concat_ws("\u0002", "leaves"))
-    members = materialize(members.select("doc_id", "salt", "root", structure.alias("structure")).distinct())
-    # Full comparison: a group is confirmed if its least and greatest structure are the same text.
+    members = materialize(again.select("doc_id", "root", structure.alias("structure")).distinct())
+    # A group is confirmed if its least and greatest structure are the same text.
     per_root = members.groupBy("root").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n_copies"), F.min("structure").alias("least"), F.max("structure").alias("greatest"))
-    confirmed = per_root.filter("least = greatest").select("root", "first_doc_id", "n_copies")
-    agreed = members.select("doc_id", "salt", "root").join(_salted(confirmed), ["root", "salt"]).select("doc_id", "first_doc_id", "n_copies")
+    per_root = materialize(per_root.select("root", "first_doc_id", "n_copies", (F.col("least") == F.col("greatest")).alias("confirmed")))
+    confirmed = per_root.filter("confirmed").select("root", "first_doc_id", "n_copies")
+    agreed = join_groups(members.select("doc_id", "root"), confirmed, "root", "n_copies", "doc_id").select("doc_id", "first_doc_id", "n_copies")
     # Different structures under one digest (a collision): group those by the structure itself.
-    collided = members.join(per_root.filter("least <> greatest").select("root"), "root", "left_semi")
+    collided = members.join(per_root.filter("not confirmed").select("root"), "root", "left_semi")
     by_text = collided.groupBy("root", "structure").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
     disputed = collided.select("doc_id", "root", "structure").join(by_text, ["root", "structure"]).select("doc_id", "first_doc_id", "n_copies")
     return agreed.unionByName(disputed)

@@ -53,3 +53,11 @@ def test_cold_words(spark, monkeypatch):
     t = reference()
     rows = [(i, f"the the word{i} zebra{i % 3}, the") for i in range(40)]
     assert encoded(spark, rows) == {k: t.encode(x, add_special_tokens=False).ids for k, x in rows}
+
+
+def test_long_frequent_words(spark, monkeypatch):
+    """Separator lines and words too long for the broadcast, in a third of all texts."""
+    monkeypatch.setattr(encode, "HEAVY", 20)
+    t = reference()
+    rows = [(i, ("=" * 80 + "\n" + "x" * 600 + " a") if i % 3 else f"word{i}") for i in range(90)]
+    assert encoded(spark, rows) == {k: t.encode(x, add_special_tokens=False).ids for k, x in rows}
