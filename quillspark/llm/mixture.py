@@ -4,14 +4,13 @@ Each source gets a factor, the expected number of copies of each of its document
 ``max_repeats``. The whole part is given to every document; the fractional part is settled by pivotal dependent
 rounding: two fractional copies meet, mass moves at random from one to the other until one of them is whole, and the
 remaining fraction goes on. Buckets of bounded size are settled in parallel; each hands at most one fraction to the
-next level of a reduction tree, until one fraction per source is left. Documents meet in order of size, and the few large
-ones are settled before the fraction of the others is fixed, so the tokens of a source come close to the wanted number.
+next level of a reduction tree, until one fraction per source is left. Within a bucket documents meet in order of size, so
+what one gives up and the other takes is of like size, and the tokens of a source come close to the wanted number.
 
-The total. Without ``total_tokens`` the mixture has the largest total for which every source with text still reaches its
-share within ``max_repeats``, so shares differ from the targets only by what sources without text cannot give. With
-``total_tokens``, sources whose limit binds give all they may, and the report shows the shares that result. With
-``whole`` the total is all tokens of the listed sources. A scarce source makes the first total small, so the report also
-shows which part of each source's tokens, and of all of them, is used at least once.
+The total. The queries take all tokens of the listed sources (``whole``): a source whose limit binds gives all it may and
+falls short, and the report shows the shares that result. Without ``whole`` and ``total_tokens`` the mixture has the
+largest total for which every source with text still reaches its share within ``max_repeats``; a scarce source then makes
+that total small. The report shows which part of each source's tokens, and of all of them, is used at least once.
 
 Defined results
   documents without a source, or of a source that is not listed: in no target, not in the result.
@@ -36,8 +35,6 @@ from quillspark.session import materialize, table
 
 #: Most documents (or fractions of the level below) that are settled in one task at once.
 FAN_IN = 4096
-#: A document is large if it has more than this part of the tokens wanted of its source.
-LARGE = 1000
 EPS = 1e-9
 
 
@@ -122,22 +119,7 @@ def _rounded(known: DataFrame, rows: list[dict], seed: int) -> DataFrame:
 
 def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 7, whole: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens, copies) of every document of a listed source; ``sizes``: (doc_id, source, n_tokens)."""
-    spark = sizes.sparkSession
-    rows = plan(targets, sizes, total_tokens, whole)
-    large = spark.createDataFrame([(r["source"], max(1.0, r["factor"] * r["tokens"] / LARGE)) for r in rows], "source string, large double")
-    known = sizes.join(F.broadcast(large), "source")
-    # Large documents are settled first. What they give more or less than expected, the others make up for: on average
-    # over the draws each document is still used as often as the factor says.
-    first = materialize(_rounded(known.filter("n_tokens > large").drop("large"), rows, seed))
-    given = {r["source"]: r for r in first.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
-    rest = []
-    for r in rows:
-        g = given.get(r["source"])
-        got, tokens = (g["got"], g["tokens"]) if g else (0, 0)
-        left = r["tokens"] - tokens
-        factor = (r["factor"] * r["tokens"] - got) / left if left > 0 else 0.0
-        rest.append(r | {"factor": min(float(r["repeats"]), max(0.0, factor)), "n_docs": r["n_docs"] - (g["n"] if g else 0)})
-    return first.unionByName(_rounded(known.filter("n_tokens <= large").drop("large"), rest, seed + 1000))
+    return _rounded(sizes.select("doc_id", "source", "n_tokens"), plan(targets, sizes, total_tokens, whole), seed)
 
 
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -159,14 +141,25 @@ def _sizes(spark: SparkSession, sf_dir: str, tokenizers: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str, total_tokens: float | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, source, n_tokens, copies): how often each document is used."""
-    return mixture(_sizes(spark, sf_dir, tokenizers), table(spark, sf_dir, "mix_targets"), total_tokens)
+    """(doc_id, source, n_tokens, copies): how often each document is used, all tokens of the listed sources in total."""
+    return mixture(_sizes(spark, sf_dir, tokenizers), table(spark, sf_dir, "mix_targets"), total_tokens, whole=True)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str, total_tokens: float | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
     """The report: each source's target, limit, sizes and the share it really reached."""
     targets = table(spark, sf_dir, "mix_targets")
-    return report(materialize(mixture(_sizes(spark, sf_dir, tokenizers), targets, total_tokens)), targets)
+    return report(materialize(mixture(_sizes(spark, sf_dir, tokenizers), targets, total_tokens, whole=True)), targets)
+
+
+def p7_exact(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The largest mixture in which every source with text reaches its share."""
+    return mixture(_sizes(spark, sf_dir, tokenizers), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_exact_shares(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The report of that mixture."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return report(materialize(mixture(_sizes(spark, sf_dir, tokenizers), targets)), targets)
 
 
 def p7_whole(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:

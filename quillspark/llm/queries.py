@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_decoded": encode.p6_decoded,
     "p7_mixture": mixture.p7_mixture,
     "p7_shares": mixture.p7_shares,
+    "p7_exact": mixture.p7_exact,
+    "p7_exact_shares": mixture.p7_exact_shares,
     "p7_whole": mixture.p7_whole,
     "p7_whole_shares": mixture.p7_whole_shares,
     "p8_found": spam.p8_found,
