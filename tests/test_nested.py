@@ -72,3 +72,31 @@ def test_walk_property(value):
     mine = sorted((r[0], r[1]) for r in nested._occurrences(value) if r[0] != "$") if isinstance(value, (dict, list)) else []
     clean = lambda s: s.encode("utf-8", "replace").decode("utf-8")
     assert mine == sorted((clean(a), clean(b)) for a, b in walk(value))
+
+
+def test_very_deep(spark):
+    """Deeper than any reader's limit: all rows through Spark, and the bare digests of a far deeper one."""
+    for depth, text in ((20_000, '{"a":' * 20_000 + "{}" + "}" * 20_000), (5_000, '[{"b":' * 5_000 + "1" + "}]" * 5_000)):
+        rows = bridge(spark, text).selectExpr("max(depth)", "count(*)", "count(distinct digest)").first()
+        assert tuple(rows) == (depth, depth + 1, depth + 1) if text[0] == "{" else tuple(rows) == (depth - 1, depth, depth)
+    assert len(nested._objects(nested._read('{"a":' * 200_000 + "{}" + "}" * 200_000))) == 200_001
+
+
+@settings(max_examples=200, deadline=None)
+@given(values, st.text("[]{},:\"1-+e. \\u0", max_size=12))
+def test_reader_without_limit(value, noise):
+    for text in (json.dumps(value), json.dumps(value, indent=1), json.dumps(value) + noise, noise):
+        try:
+            want = json.loads(text, parse_int=nested._Literal, parse_float=nested._Literal, parse_constant=nested._no_json)
+        except ValueError:
+            want = None
+        got = nested._read_deep(text)
+        assert got == want and json.dumps(got) == json.dumps(want)
+
+
+def test_fields(spark):
+    rows = nested.field_table(nested.object_table(bridge(spark, '{"x": {"p": 1.0, "q": [true, ["z", null]]}, "y": "t"}'))).collect()
+    inner = {(r.path, r.ordinal, r.kind, r.value) for r in rows if r.path != "x" and r.path != "y"}
+    assert inner == {("p", 0, "number", "1.0"), ("q[0]", 1, "bool", "true"), ("q[1][0]", 2, "text", "z"), ("q[1][1]", 3, "null", None)}
+    assert {(r.path, r.kind) for r in rows if r.path in "xy"} == {("x", "object"), ("y", "text")}
+    assert [r.value for r in rows if r.path == "x"][0] in {r.digest for r in rows if r.path == "p"}
