@@ -1,8 +1,9 @@
 """Visually identical text stored with different characters (problem 1).
 
-Names are exploded to positioned code points; a broadcast mapping removes what does not show, unifies spaces,
-decomposes, and (for the comparison form) replaces look-alike letters; combining marks are ordered by class, marks
-and Hangul letters are recomposed, and the strings are rebuilt.
+Names that hold a character which can change are exploded to positioned code points (all others are their own form); a
+broadcast mapping removes what does not show, unifies spaces, decomposes, and (for the comparison form) replaces
+look-alike letters; combining marks are ordered by class, marks and Hangul letters are recomposed, and the strings are
+rebuilt. All of it runs where the distinct name lies: after the names are made distinct nothing is shuffled.
 
 Two forms come out: ``form`` keeps the letters that were meant (only writing variants are unified), ``skeleton`` also
 maps letters of the same shape in other scripts to one of them and is what comparisons use.
@@ -21,7 +22,7 @@ import sys
 import unicodedata
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,54 +96,68 @@ def composition_rows() -> tuple[tuple[int, int, int], ...]:
     return tuple(rows)
 
 
-def _recompose(runs: DataFrame, compositions: DataFrame) -> DataFrame:
-    """One step of composing: the first unblocked mark of each run that composes with its starter is taken in.
+@cache
+def changing() -> tuple[str, str]:
+    """The characters that the mapping changes or whose place matters (marks, Hangul letters), and those whose look-alike
+    differs: a name without the first is its own form, one without the second has its form as its skeleton."""
+    rows = mapping_rows()
+    return "".join(map(chr, sorted({r[0] for r in rows} | set(range(0x1100, 0x1200))))), "".join(map(chr, sorted({r[0] for r in rows if r[2] != r[3]})))
 
-    No canonical composition takes in more than three marks, so three steps reach the end."""
-    marks = runs.select("name", "run", "starter", F.posexplode("marks").alias("k", "m"))
-    # Unblocked: no mark of the same class before it.
-    free = marks.withColumn("before", F.count(F.lit(1)).over(W.partitionBy("name", "run", "m.ccc").orderBy("k"))).filter("before = 1")
-    hits = free.join(F.broadcast(compositions), (F.col("starter") == F.col("first")) & (F.col("m.cp") == F.col("mark")))
-    first = hits.groupBy("name", "run").agg(F.min_by(F.struct("composed", "k"), "k").alias("hit"))
-    joined = runs.join(first, ["name", "run"], "left")
-    rest = F.expr("filter(marks, (x, i) -> hit is null or i <> hit.k)")
-    return joined.select("name", "run", F.coalesce("hit.composed", "starter").alias("starter"), rest.alias("marks"))
 
+def _recompose(runs: DataFrame, compositions: DataFrame) -> DataFrame:
+    """One step of composing: the first unblocked mark of each run that composes with its starter is taken in.
 
-def _rebuilt(points: DataFrame, target: str, out: str) -> DataFrame:
-    """(name, out) from positioned code points of one form: marks ordered by class, recomposed, joined to strings."""
+    No canonical composition takes in more than three marks, so three steps reach the end. Marks are ordered by class, so
+    a mark is unblocked if the one before it is of another class."""
+    keys = ["name", "kind", "run"]
+    numbered = F.expr("transform(marks, (m, i) -> struct(i as k, m.ccc as ccc, m.cp as cp, i = 0 or marks[greatest(0, i - 1)].ccc <> m.ccc as free))")
+    marks = runs.select(*keys, "starter", F.explode_outer(numbered).alias("m"))
+    hits = marks.join(F.broadcast(compositions), (F.col("starter") == F.col("first")) & (F.col("m.cp") == F.col("mark")) & F.col("m.free"), "left")
+    taken = F.min_by(F.struct("composed", "m.k"), F.when(F.col("composed").isNotNull(), F.col("m.k")))
+    kept = F.array_sort(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("m.k", "m.ccc", "m.cp"))))
+    done = hits.groupBy(*keys).agg(F.first("starter").alias("starter"), taken.alias("hit"), kept.alias("marks"))
+    rest = F.expr("transform(filter(marks, m -> hit is null or m.k <> hit.k), m -> struct(m.ccc as ccc, m.cp as cp))")
+    return done.select(*keys, F.coalesce("hit.composed", "starter").alias("starter"), rest.alias("marks"))
+
+
+def _rebuilt(points: DataFrame) -> DataFrame:
+    """(name, kind, text) from positioned code points: marks ordered by class, recomposed, joined to strings."""
     spark = points.sparkSession
     compositions = spark.createDataFrame(composition_rows(), "first int, mark int, composed int")
-    by_place = W.partitionBy("name").orderBy("pos", "n")
-    numbered = points.select("name", "pos", "n", F.col(target).alias("cp"), "ccc").withColumn("run", F.sum((F.col("ccc") == 0).cast("int")).over(by_place))
+    by_place = W.partitionBy("name", "kind").orderBy("pos", "n")
+    numbered = points.withColumn("run", F.sum((F.col("ccc") == 0).cast("int")).over(by_place))
     ordered = F.array_sort(F.collect_list(F.when(F.col("ccc") > 0, F.struct("ccc", "pos", "n", "cp"))))
-    runs = numbered.groupBy("name", "run").agg(F.max(F.when(F.col("ccc") == 0, F.col("cp"))).alias("starter"), ordered.alias("marks"))
-    plain = runs.filter(F.size("marks") == 0)
-    marked = runs.filter(F.size("marks") > 0)
+    runs = numbered.groupBy("name", "kind", "run").agg(F.max(F.when(F.col("ccc") == 0, F.col("cp"))).alias("starter"), ordered.alias("marks"))
+    runs = runs.withColumn("marks", F.transform("marks", lambda m: F.struct(m["ccc"].alias("ccc"), m["cp"].alias("cp"))))
     for _ in range(3):
-        marked = _recompose(marked, compositions)
-    text = F.concat(F.coalesce(_char("starter"), F.lit("")), F.array_join(F.transform("marks", lambda m: _char(m["cp"])), ""))
+        runs = _recompose(runs, compositions)
     tail = F.array_join(F.transform("marks", lambda m: _char(m["cp"])), "")
-    pieces = plain.unionByName(marked).select("name", "run", F.col("starter").alias("cp"), (F.size("marks") == 0).alias("bare"), text.alias("piece"), tail.alias("tail"))
     # Hangul: leading and vowel letters (and a trailing one) become a syllable, unless a mark stands between them.
-    row = W.partitionBy("name").orderBy("run")
-    hangul = pieces.withColumn("at", F.struct("cp", "bare", "tail"))
-    hangul = hangul.select("name", "run", "piece", "at", F.lag("at", 1).over(row).alias("b1"), F.lag("at", 2).over(row).alias("b2"), F.lead("at", 1).over(row).alias("a1"), F.lead("at", 2).over(row).alias("a2"))
-    lead = lambda c: F.col(f"{c}.cp").between(0x1100, 0x1112)
-    vowel = lambda c: F.col(f"{c}.cp").between(0x1161, 0x1175)
-    trail = lambda c: F.col(f"{c}.cp").between(0x11A8, 0x11C2)
-    open_syllable = lambda c: F.col(f"{c}.cp").between(0xAC00, 0xD7A3) & ((F.col(f"{c}.cp") - 0xAC00) % 28 == 0)
-    opens, closes = lead("at") & F.col("at.bare") & vowel("a1"), F.col("a1.bare") & trail("a2")
-    syllable = F.lit(0xAC00) + ((F.col("at.cp") - 0x1100) * 21 + (F.col("a1.cp") - 0x1161)) * 28
-    built = F.when(opens & closes, F.concat(_char(syllable + F.col("a2.cp") - 0x11A7), "a2.tail")).when(opens, F.concat(_char(syllable), "a1.tail"))
-    built = built.when(open_syllable("at") & F.col("at.bare") & trail("a1"), F.concat(_char(F.col("at.cp") + F.col("a1.cp") - 0x11A7), "a1.tail"))
-    before = F.col("b1.bare") & ((vowel("at") & lead("b1")) | (trail("at") & (open_syllable("b1") | (vowel("b1") & lead("b2") & F.col("b2.bare")))))
-    whole = built.when(before, "")
-    done = hangul.select("name", "run", F.coalesce(whole, F.col("piece")).alias("piece"))
-    return done.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "piece"))), lambda x: x["piece"]), "").alias(out)).withColumn(out, F.trim(out))
-
-
-def _char(code) -> F.Column:
+    at = F.struct("run", F.col("starter").alias("cp"), (F.size("marks") == 0).alias("bare"), tail.alias("tail"))
+    names = runs.groupBy("name", "kind").agg(F.array_sort(F.collect_list(at)).alias("runs"))
+    return names.select("name", "kind", F.trim(F.array_join(F.transform("runs", _piece), "")).alias("text"))
+
+
+def _piece(at: Column, i: Column) -> Column:
+    """What a run becomes, with an eye on its neighbours: its character and marks, a syllable, or nothing."""
+    near = lambda step: F.get("runs", i + step)
+    lead = lambda x: x["cp"].between(0x1100, 0x1112)
+    vowel = lambda x: x["cp"].between(0x1161, 0x1175)
+    trail = lambda x: x["cp"].between(0x11A8, 0x11C2)
+    open_ = lambda x: x["cp"].between(0xAC00, 0xD7A3) & ((x["cp"] - 0xAC00) % 28 == 0)
+    a1, a2, b1, b2 = near(1), near(2), near(-1), near(-2)
+    plain = F.concat(F.coalesce(_char(at["cp"]), F.lit("")), at["tail"])
+    opens, closes = lead(at) & at["bare"] & vowel(a1), a1["bare"] & trail(a2)
+    syllable = F.lit(0xAC00) + ((at["cp"] - 0x1100) * 21 + (a1["cp"] - 0x1161)) * 28
+    built = F.when(opens & closes, F.concat(_char(syllable + a2["cp"] - 0x11A7), a2["tail"])).when(opens, F.concat(_char(syllable), a1["tail"]))
+    built = built.when(open_(at) & at["bare"] & trail(a1), F.concat(_char(at["cp"] + a1["cp"] - 0x11A7), a1["tail"]))
+    before = b1["bare"] & ((vowel(at) & lead(b1)) | (trail(at) & (open_(b1) | (vowel(b1) & lead(b2) & b2["bare"]))))
+    # Only Hangul letters and open syllables look around.
+    hangul = at["cp"].between(0x1100, 0x11FF) | open_(at)
+    return F.when(~F.coalesce(hangul, F.lit(False)), plain).otherwise(F.coalesce(F.when(before, "").otherwise(built), plain))
+
+
+def _char(code) -> Column:
     """The character of a code point (SQL's char() knows Latin-1 only)."""
     code = F.col(code) if isinstance(code, str) else code
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
@@ -153,13 +168,19 @@ def unified(names: DataFrame) -> DataFrame:
     spark = names.sparkSession
     mapping = spark.createDataFrame(mapping_rows(), "code int, n int, target int, skel int, ccc int")
     distinct = names.select("name").filter("name is not null").distinct()
+    any_change, alike = (F.translate("name", x, "") != F.col("name") for x in changing())
+    touched = distinct.select("name", any_change.alias("changes"), alike.alias("alike"))
+    own = touched.filter("not changes").select("name", F.trim("name").alias("form"), F.trim("name").alias("skeleton"))
     code = F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("int")
-    points = distinct.select("name", F.posexplode(F.split("name", "")).alias("pos", "c")).filter("c <> ''").select("name", "pos", code.alias("code"))
-    mapped = points.join(F.broadcast(mapping), "code", "left")
-    shown = mapped.filter("n is null or n >= 0").select("name", "pos", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("target", "code").alias("target"), F.coalesce("skel", "code").alias("skel"), F.coalesce("ccc", F.lit(0)).alias("ccc"))
-    shown = materialize(shown)
-    forms = distinct.join(_rebuilt(shown, "target", "form"), "name", "left").join(_rebuilt(shown, "skel", "skeleton"), "name", "left")
-    return forms.select("name", F.coalesce("form", F.lit("")).alias("form"), F.coalesce("skeleton", F.lit("")).alias("skeleton"))
+    points = touched.filter("changes").select("name", "alike", F.posexplode(F.split("name", "")).alias("pos", "c")).filter("c <> ''").select("name", "alike", "pos", code.alias("code"))
+    mapped = points.join(F.broadcast(mapping), "code", "left").filter("n is null or n >= 0")
+    both = F.expr("explode(if(alike, array(struct(0 as kind, coalesce(target, code) as cp), struct(1 as kind, coalesce(skel, code) as cp)), array(struct(0 as kind, coalesce(target, code) as cp)))) as k")
+    shown = mapped.select("name", "pos", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ccc", F.lit(0)).alias("ccc"), both)
+    texts = _rebuilt(shown.select("name", "k.kind", "pos", "n", "k.cp", "ccc"))
+    built = texts.groupBy("name").agg(F.max(F.when(F.col("kind") == 0, F.col("text"))).alias("form"), F.max(F.when(F.col("kind") == 1, F.col("text"))).alias("skeleton"))
+    # Names of which nothing shows have no code point left.
+    forms = touched.filter("changes").select("name").join(built, "name", "left")
+    return own.unionByName(forms.select("name", F.coalesce("form", F.lit("")).alias("form"), F.coalesce("skeleton", "form", F.lit("")).alias("skeleton")))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +194,7 @@ def alike_pairs(rows: DataFrame) -> DataFrame:
 
     Writings, not rows, are paired: exact copies share one writing, so a hot name costs one row per writing until the
     wanted pairs themselves are written."""
-    looks = unified(rows)
+    looks = materialize(unified(rows))
     rows = rows.withColumn("normalized", F.when(F.col("is_alias"), F.coalesce("normalized", F.lit("\u0000")))).join(looks.select("name", "skeleton"), "name")
     rows = materialize(rows.withColumn("writing", F.sha2(F.concat_ws("\u0001", "language", "name", F.col("is_alias").cast("string"), F.coalesce("normalized", F.lit("\u0002"))), 256)))
     writings = rows.groupBy("writing").agg(*(F.first(c).alias(c) for c in ("language", "skeleton", "name", "is_alias", "normalized")))
