@@ -5,8 +5,11 @@ the conjunction of its white-space separated parts; a part is a phrase of one or
 Scores are Okapi BM25 with k1 = 1.2, b = 0.75 and a floor under the idf; statistics always cover all rows, filters come
 after them.
 
-A phrase is looked up by its rarest term and verified in the row's term arrays, so a frequent word in a phrase costs
-nothing; phrases that several queries share are evaluated once.
+The index (``Index``) is built once per set of units and serves any number of query sets: a forward table with each
+column as one string of terms, written out, and postings that are formed for the wanted terms only. A phrase is looked up
+by its rarest term and verified in the row's strings, so a frequent word in a phrase costs nothing; phrases that several
+queries share are evaluated once. The terms of the stated queries are joined by broadcast where Spark finds their table
+small enough, else by a shuffle whose hot keys AQE splits.
 
 Defined results: empty queries, and parts without any term, match nothing; units without text have length zero; ties are
 broken by unit_seq; repeated units are rows of their own.
@@ -29,66 +32,88 @@ CHANNELS = {"unicode": 1.0, "trigram": 0.82, "title": 2.3}
 LANGUAGES = {"ko": 1.28, "en": 1.06}
 
 
+def _joined(a: Column, b: Column) -> Column:
+    return F.concat(a, b)
+
+
 def trigrams(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: low.substr(i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """Every three neighbouring characters. The text is split first: a substring by place would read the text from its
+    start for each of them. ``c`` has to be a column of its own."""
+    chars = F.split(c, "")
+    n = F.length(c)
+    return F.when(n >= 3, F.zip_with(F.zip_with(F.slice(chars, F.lit(1), n - 2), F.slice(chars, F.lit(2), n - 2), _joined), F.slice(chars, F.lit(3), n - 2), _joined)).otherwise(F.array().cast("array<string>"))
+
 
+def words_in(c: Column) -> Column:
+    """The words of a column as one string, each between single blanks; without words a single blank."""
+    return F.concat(F.lit(" "), F.array_join(F.transform(T.tokens(c), lambda x: F.concat(x, F.lit(" "))), ""))
 
-TERMS = {"unicode": T.tokens, "trigram": trigrams}
+
+#: How a column is stored, how a stored string is cut into distinct terms, and how many terms it has.
+FORMS = {"unicode": words_in, "trigram": lambda c: F.lower(F.coalesce(c, F.lit("")))}
+TERMS = {"unicode": lambda c: F.split(F.trim(c), " "), "trigram": trigrams}
+SIZES = {"unicode": lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) - 1, "trigram": lambda c: F.greatest(F.lit(0), F.length(c) - 2)}
 
 
 def indexed(units: DataFrame, mode: str) -> DataFrame:
-    """(unit_seq, canonical_id, language, term arrays t0..t2, d): the forward index."""
-    terms = [TERMS[mode](F.col(c)).alias(f"t{i}") for i, c in enumerate(COLUMNS)]
-    out = units.select("unit_seq", "canonical_id", "language", *terms)
-    return out.withColumn("d", F.size("t0") + F.size("t1") + F.size("t2"))
+    """(unit_seq, canonical_id, language, stored strings s0..s2, d): the forward index."""
+    out = units.select("unit_seq", "canonical_id", "language", *(FORMS[mode](F.col(c)).alias(f"s{i}") for i, c in enumerate(COLUMNS)))
+    return out.withColumn("d", SIZES[mode](F.col("s0")) + SIZES[mode](F.col("s1")) + SIZES[mode](F.col("s2")))
 
 
-def postings(index: DataFrame) -> DataFrame:
+def postings(index: DataFrame, mode: str = "unicode") -> DataFrame:
     """(term, unit_seq): the inverted index."""
-    return index.select("unit_seq", F.explode(F.array_distinct(F.concat("t0", "t1", "t2"))).alias("term"))
+    terms = [F.filter(TERMS[mode](F.col(f"s{i}")), lambda x: x != "") for i in range(3)]
+    return index.select("unit_seq", F.explode_outer(F.array_distinct(F.concat(*terms))).alias("term")).filter("term is not null")
+
+
+class Index:
+    """The forward index of one set of units, written once, with what BM25 needs to know of all of them."""
+
+    def __init__(self, units: DataFrame, mode: str) -> None:
+        self.mode, self.rows = mode, materialize(indexed(units, mode))
+        stats = self.rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("d").alias("avgdl")).first()
+        self.n, self.mean = (stats["n"] or 0.0), (stats["avgdl"] or 1.0)
 
 
 def phrases_of(queries: DataFrame, mode: str) -> DataFrame:
-    """(query_id, phrase_no, phrase) with phrase an array of terms. In trigram mode a query is one phrase."""
+    """(query_id, phrase_no, phrase) with phrase a stored string. In trigram mode a query is one phrase."""
     text = T.strip(F.col("query"))
     parts = F.split(text, rf"{T.WS}+") if mode == "unicode" else F.array(text)
     rows = queries.select("query_id", F.posexplode(parts).alias("phrase_no", "part")).filter("part <> ''")
-    return rows.select("query_id", "phrase_no", TERMS[mode](F.col("part")).alias("phrase"))
-
-
-def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, unit_seq, f): occurrences of each distinct phrase in each unit, overlapping ones included."""
-    distinct = phrases.filter(F.size("phrase") > 0).select("phrase").distinct()
-    posted = postings(index)
-    wanted = distinct.select("phrase", F.explode(F.array_distinct("phrase")).alias("term"))
-    df = posted.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return rows.select("query_id", "phrase_no", FORMS[mode](F.col("part")).alias("phrase"))
+
+
+def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
+    """(phrase, unit_seq, canonical_id, language, d, f): occurrences of each distinct phrase in each unit, overlapping ones
+    included."""
+    mode, rows = index.mode, index.rows
+    distinct = phrases.filter(SIZES[mode](F.col("phrase")) > 0).select("phrase").distinct()
+    wanted = materialize(distinct.select("phrase", F.explode_outer(F.array_distinct(TERMS[mode](F.col("phrase")))).alias("term")))
+    # Only postings of terms that some phrase has are kept; their table has a known size from here on.
+    posted = materialize(postings(rows, mode).join(wanted.select("term").distinct(), "term", "left_semi"))
+    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Every term of a phrase has to occur, so the rarest one (absent ones count as zero) finds all candidates.
     anchors = wanted.join(df, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
-    candidates = posted.join(anchors, "term").select("phrase", "unit_seq")
-    n = F.size("phrase")
+    candidates = posted.join(materialize(anchors), "term").select("phrase", "unit_seq")
+    joined = candidates.join(rows, "unit_seq")
+    # Counted by a pattern that looks ahead, so that occurrences may overlap; words end with the blank the next begins with.
+    pattern = F.concat(F.lit("(?=\\Q"), F.replace("phrase", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    found = sum((F.when(F.contains(f"s{i}", "phrase"), F.regexp_count(f"s{i}", pattern)).otherwise(0) for i in range(3)), F.lit(0))
+    return joined.select("phrase", "unit_seq", "canonical_id", "language", "d", found.alias("f")).filter("f > 0")
 
-    def found(t: str) -> Column:
-        places = F.sequence(F.lit(1), F.size(t) - n + 1)
-        return F.when(F.size(t) >= n, F.size(F.filter(places, lambda i: F.slice(F.col(t), i, n) == F.col("phrase")))).otherwise(0)
 
-    joined = candidates.join(index.select("unit_seq", "t0", "t1", "t2"), "unit_seq")
-    return joined.select("phrase", "unit_seq", (found("t0") + found("t1") + found("t2")).alias("f")).filter("f > 0")
-
-
-def bm25(units: DataFrame, queries: DataFrame, mode: str) -> DataFrame:
+def bm25(units: DataFrame | Index, queries: DataFrame, mode: str) -> DataFrame:
     """(query_id, unit_seq, canonical_id, language, score) of all units that have every phrase of the query."""
-    index = materialize(indexed(units, mode))
+    index = units if isinstance(units, Index) else Index(units, mode)
     phrases = phrases_of(queries, mode)
     hits = materialize(phrase_hits(index, phrases))
-    stats = index.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("d").alias("avgdl")).first()
-    n, avgdl = (stats["n"] or 0.0), (stats["avgdl"] or 1.0)
     per = hits.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     per = per.select("phrase", F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf).alias("idf"))
-    sized = hits.join(per, "phrase").join(index.select("unit_seq", "canonical_id", "language", "d"), "unit_seq")
+    sized = hits.join(materialize(per), "phrase")
     f = F.col("f").cast("double")
-    sized = sized.withColumn("s", F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.lit(float(avgdl)))))
+    sized = sized.withColumn("s", F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.lit(float(index.mean)))))
     needed = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     scored = phrases.join(sized, "phrase").groupBy("query_id", "unit_seq", "canonical_id", "language").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("got"))
     return scored.join(needed, "query_id").filter("got = needed").select("query_id", "unit_seq", "canonical_id", "language", F.round("score", 6).alias("score"))
@@ -137,14 +162,34 @@ def bm25_own_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(hits.filter("language = query_language")).select("query_id", "unit_seq", "score", "rank")
 
 
-def title_hits(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, unit_seq, score) of units whose title contains the query: 7 if it is the query, else 4.
+def pairs_of(c: str) -> Column:
+    """The distinct characters and pairs of neighbouring characters of a column."""
+    chars = F.split(c, "")
+    n = F.length(c)
+    two = F.when(n >= 2, F.zip_with(F.slice(chars, F.lit(1), n - 1), F.slice(chars, F.lit(2), n - 1), _joined)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(chars, two), lambda x: x != ""))
+
 
-    Distinct titles are joined on the first characters of the query at any place of the title, then tested."""
-    q = queries.select("query_id", F.lower(T.strip(F.col("query"))).alias("q"), T.normalize_alias(F.col("query")).alias("key")).filter("q <> ''").withColumn("gram", F.left("q", F.lit(2)))
-    titles = units.filter("title <> ''").select("title").distinct().withColumn("low", F.lower("title"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.array(F.col("low").substr(i, F.lit(1)), F.col("low").substr(i, F.lit(2))))))
-    hits = titles.withColumn("gram", F.explode(grams)).join(q, "gram").filter(F.col("low").contains(F.col("q")))
+def contained(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+    """(needle, hay) of all distinct strings of which the first occurs in the second.
+
+    They meet on the needle's rarest piece (a pair of characters; the character itself if it has only one), so a common
+    beginning forms no pairs; then containment is tested."""
+    needles = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
+    hays = hays.select(F.col(hay).alias("hay")).filter("hay <> ''").distinct()
+    pieces = F.filter(pairs_of("needle"), lambda x: F.length(x) == F.least(F.lit(2), F.length("needle")))
+    wanted = materialize(needles.select("needle", F.explode(pieces).alias("piece")))
+    posted = materialize(hays.select("hay", F.explode(pairs_of("hay")).alias("piece")).join(wanted.select("piece").distinct(), "piece", "left_semi"))
+    often = posted.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
+    anchors = wanted.join(often, "piece").groupBy("needle").agg(F.min_by("piece", F.struct("df", "piece")).alias("piece"))
+    return posted.join(anchors, "piece").filter(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
+
+
+def title_hits(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, unit_seq, score) of units whose title contains the query: 7 if it is the query, else 4."""
+    q = queries.select("query_id", F.lower(T.strip(F.col("query"))).alias("needle"), T.normalize_alias(F.col("query")).alias("key"))
+    titles = units.filter("title <> ''").select("title").distinct().withColumn("hay", F.lower("title"))
+    hits = contained(q, "needle", titles, "hay").join(titles, "hay").join(q, "needle")
     hits = hits.select("query_id", "title", F.when(T.normalize_alias(F.col("title")) == F.col("key"), 7.0).otherwise(4.0).alias("score"))
     return units.join(hits, "title").select("query_id", "unit_seq", "canonical_id", "language", "score")
 
@@ -185,11 +230,12 @@ def _fallback_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries without a strict result, word by word: best of the first word, best of the second, ... in turn."""
     units, queries = _units(spark, sf_dir), _fallback_queries(spark, sf_dir)
-    strict = bm25(units, queries, "unicode").select("query_id").distinct()
+    index = Index(units, "unicode")
+    strict = bm25(index, queries, "unicode").select("query_id").distinct()
     words = F.filter(F.array_distinct(T.tokens(F.col("query"))), lambda x: F.length(x) >= 2)
     parts = queries.join(strict, "query_id", "left_anti").select("query_id", F.posexplode(F.slice(words, 1, 8)).alias("word_no", "word"))
     single = parts.select("word").distinct().select(F.col("word").alias("query_id"), F.col("word").alias("query"))
-    ranked = top(bm25(units, single, "unicode")).select(F.col("query_id").alias("word"), "unit_seq", F.col("rank").alias("word_rank"))
+    ranked = top(bm25(index, single, "unicode")).select(F.col("query_id").alias("word"), "unit_seq", F.col("rank").alias("word_rank"))
     merged = parts.join(ranked, "word").groupBy("query_id", "unit_seq").agg(F.min(F.struct("word_rank", "word_no")).alias("turn"))
     order = F.row_number().over(W.partitionBy("query_id").orderBy("turn", "unit_seq"))
     return merged.withColumn("rank", order).filter(F.col("rank") <= LIMIT).select("query_id", "unit_seq", "rank")
