@@ -76,10 +76,10 @@ class Index:
         self.n, self.mean = (stats["n"] or 0.0), (stats["avgdl"] or 1.0)
 
 
-def phrases_of(queries: DataFrame, mode: str) -> DataFrame:
-    """(query_id, phrase_no, phrase) with phrase a stored string. In trigram mode a query is one phrase."""
+def phrases_of(queries: DataFrame, mode: str, whole: bool = False) -> DataFrame:
+    """(query_id, phrase_no, phrase) with phrase a stored string. In trigram mode, or if ``whole``, a query is one phrase."""
     text = T.strip(F.col("query"))
-    parts = F.split(text, rf"{T.WS}+") if mode == "unicode" else F.array(text)
+    parts = F.split(text, rf"{T.WS}+") if mode == "unicode" and not whole else F.array(text)
     rows = queries.select("query_id", F.posexplode(parts).alias("phrase_no", "part")).filter("part <> ''")
     return rows.select("query_id", "phrase_no", FORMS[mode](F.col("part")).alias("phrase"))
 
@@ -103,10 +103,10 @@ def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     return joined.select("phrase", "unit_seq", "canonical_id", "language", "d", found.alias("f")).filter("f > 0")
 
 
-def bm25(units: DataFrame | Index, queries: DataFrame, mode: str) -> DataFrame:
+def bm25(units: DataFrame | Index, queries: DataFrame, mode: str, whole: bool = False) -> DataFrame:
     """(query_id, unit_seq, canonical_id, language, score) of all units that have every phrase of the query."""
     index = units if isinstance(units, Index) else Index(units, mode)
-    phrases = phrases_of(queries, mode)
+    phrases = phrases_of(queries, mode, whole)
     hits = materialize(phrase_hits(index, phrases))
     per = hits.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = F.log((F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -269,9 +269,9 @@ def _gram(c: str) -> str:
     return f"[lower(coalesce({c}, ''))[i:i+2] FOR i IN range(1, length(lower(coalesce({c}, ''))) - 1)]"
 
 
-def _bm25_sql(mode: str, name: str, queries: str, source: str = "text_units") -> str:
+def _bm25_sql(mode: str, name: str, queries: str, source: str = "text_units", whole: bool = False) -> str:
     terms = Sql.tokens if mode == "unicode" else _gram
-    parts = rf"regexp_split_to_array({Sql.strip('query')}, '{T.WS}+')" if mode == "unicode" else f"[{Sql.strip('query')}]"
+    parts = rf"regexp_split_to_array({Sql.strip('query')}, '{T.WS}+')" if mode == "unicode" and not whole else f"[{Sql.strip('query')}]"
     count = " + ".join(f"len([1 FOR i IN range(1, len(t{k}) - len(phrase) + 2) IF t{k}[i:i+len(phrase)-1] = phrase])" for k in range(3))
     return f"""{name}_i AS MATERIALIZED (SELECT unit_seq, canonical_id, language, {', '.join(f"{terms(c)} AS t{i}" for i, c in enumerate(COLUMNS))} FROM {source}),
       {name}_l AS MATERIALIZED (SELECT *, len(t0) + len(t1) + len(t2) AS d FROM {name}_i), {name}_st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(d) AS avgdl FROM {name}_l),
