@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.text import Sql
 from quillspark.operators import names, payload, search
-from quillspark.operators.nested import _clean, _Literal, _read
-from quillspark.session import table
+from quillspark.operators.build import nodes_of
+from quillspark.operators.nested import _read
+from quillspark.session import materialize, table
 
+#: Hits that are looked into.
+LOOKED_INTO = 25
 LEAVES = "record_no long, pos int, path string, kind string, value string"
 #: Fields whose texts say nothing about the content.
 SKIPPED = ("icon", "route", "source_url", "content_hash", "raw_id", "fetched_at", "crawler_version", "raw_format", "metadata", "params")
@@ -29,24 +32,12 @@ NO_CANDIDATES = "the and that this with from traveler paimon 솔직히 기억 
 
 
 def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def walk(x: object, path: str) -> Iterator[tuple[str, str, str]]:
-        if isinstance(x, dict):
-            for k, v in x.items():
-                yield from walk(v, f"{path}.{k}")
-        elif isinstance(x, list):
-            for i, v in enumerate(x):
-                yield from walk(v, f"{path}[{i}]")
-        elif isinstance(x, bool):
-            yield path, "bool", "true" if x else "false"
-        elif x is not None:
-            yield path, "number" if isinstance(x, _Literal) else "text", _clean(str(x))
-
     for batch in batches:
         rows = []
         for n, text in zip(batch["record_no"], batch["payload"]):
             value = _read(text)
             if isinstance(value, (dict, list)):
-                rows += [(n, i, _clean(path), kind, x) for i, (path, kind, x) in enumerate(walk(value, "$"))]
+                rows += [(n, pos, path, kind, x) for pos, path, _, _, kind, x in nodes_of(value) if x is not None]
         yield pd.DataFrame(rows, columns=["record_no", "pos", "path", "kind", "value"])
 
 
@@ -122,13 +113,12 @@ def united_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts named in a query's best units: their aliases of at least three characters contained in title and text.
 
-    Aliases and units meet on the alias's first three characters, then containment is tested."""
-    hits = search.top(search.bm25(search._units(spark, sf_dir), search._queries(spark, sf_dir), "unicode")).select("query_id", "unit_seq")
-    units = search._units(spark, sf_dir).select("unit_seq", "language", T.normalize_alias(F.concat_ws("\n", "title", "text")).alias("hay"))
-    near = hits.join(units, "unit_seq").filter(F.length("hay") >= 3)
-    near = near.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - 2), lambda i: F.col("hay").substr(i, F.lit(3))))))
-    known = names.merged(names.alias_rows(spark, sf_dir)).filter(F.length("normalized") >= 3).select("canonical_id", "language", "normalized", "weight", F.left("normalized", F.lit(3)).alias("gram"))
-    found = near.join(known, ["language", "gram"]).filter(F.col("hay").contains(F.col("normalized")))
+    Aliases of any language and the 25 best units meet on the alias's rarest pair of characters, then containment is tested."""
+    hits = search.top(search.bm25(search._units(spark, sf_dir), search._queries(spark, sf_dir), "unicode"), LOOKED_INTO).select("query_id", "unit_seq")
+    units = search._units(spark, sf_dir).select("unit_seq", T.normalize_alias(F.concat_ws("\n", "title", "text")).alias("hay"))
+    near = materialize(hits.join(units, "unit_seq"))
+    known = names.merged(names.alias_rows(spark, sf_dir)).filter(F.length("normalized") >= 3).select("canonical_id", "normalized", "weight")
+    found = search.contained(known, "normalized", near, "hay").join(near, "hay").join(known.withColumnRenamed("normalized", "needle"), "needle").withColumnRenamed("needle", "normalized")
     gain = F.col("weight") + F.least(F.length("normalized") / 6.0, F.lit(5.0))
     return found.groupBy("query_id", "canonical_id").agg(F.round(F.sum(gain), 6).alias("score"), F.count_distinct("unit_seq").alias("n_units"))
 
@@ -162,7 +152,7 @@ ORACLE = {
     "short_text_search": f"WITH {search._bm25_sql('trigram', 'z', search._Q, _SHORT)} SELECT {search._COLS} FROM ({search._top_sql('SELECT * FROM z')})",
     "united_search": f"""WITH {search._U}, {search._bm25_sql('unicode', 'z', search._Q, _SHORT)}, a AS (SELECT query_id, unit_seq, score, 'unit' AS kind FROM ({search._top_sql('SELECT * FROM u')}) UNION ALL SELECT query_id, unit_seq, score, 'short text' FROM ({search._top_sql('SELECT * FROM z')}))
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind, unit_seq) AS rank FROM a QUALIFY rank <= 10""",
-    "related_concepts": f"""WITH {search._U}, h AS ({search._top_sql('SELECT * FROM u')}), n AS ({names._ALIAS} SELECT * FROM merged WHERE length(normalized) >= 3),
-      y AS (SELECT query_id, t.unit_seq, t.language, {Sql.alias("concat_ws(chr(10), title, text)")} AS hay FROM h JOIN text_units t USING (unit_seq))
-      SELECT query_id, canonical_id, round(sum(weight + least(length(normalized) / 6.0::DOUBLE, 5.0::DOUBLE)), 6) AS score, count(DISTINCT unit_seq) AS n_units FROM y JOIN n ON n.language = y.language AND contains(hay, normalized) GROUP BY 1, 2""",
+    "related_concepts": f"""WITH {search._U}, h AS ({search._top_sql('SELECT * FROM u', LOOKED_INTO)}), n AS ({names._ALIAS} SELECT * FROM merged WHERE length(normalized) >= 3),
+      y AS (SELECT query_id, t.unit_seq, {Sql.alias("concat_ws(chr(10), title, text)")} AS hay FROM h JOIN text_units t USING (unit_seq))
+      SELECT query_id, canonical_id, round(sum(weight + least(length(normalized) / 6.0::DOUBLE, 5.0::DOUBLE)), 6) AS score, count(DISTINCT unit_seq) AS n_units FROM y JOIN n ON contains(hay, normalized) GROUP BY 1, 2""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.text import Sql
+from quillspark.operators.search import contained
 from quillspark.session import table
 
 
@@ -44,18 +45,16 @@ def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases (at least three characters) contained in a query's text; the queries are every hundredth title of a text unit.
-
-    Containment is a join on the alias's first three characters at any place of the query, then an exact test; no pair
-    is formed that does not share them."""
-    queries = table(spark, sf_dir, "text_units").filter("unit_seq % 100 = 0").select("unit_seq", "language", T.normalize_alias(F.concat_ws("", "speaker", "title")).alias("query")).filter(F.length("query") >= 3)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("query") - 2), lambda i: F.col("query").substr(i, F.lit(3))))
-    queries = queries.withColumn("gram", F.explode(grams))
-    names = merged(alias_rows(spark, sf_dir)).filter(F.length("normalized") >= 3).select("canonical_id", "language", "normalized", "weight", F.left("normalized", F.lit(3)).alias("gram"))
-    hits = queries.join(names, ["language", "gram"]).filter(F.col("query").contains(F.col("normalized")))
-    per = hits.groupBy("unit_seq", "canonical_id").agg(F.max(F.col("weight") * F.length("normalized")).alias("score"))
+    """Concepts whose names (at least two characters, of any language) a query's text contains; the queries are every
+    hundredth text unit. Each name adds its weight and up to eight for its length; the best fourteen concepts stay.
+
+    Containment is a join on the name's rarest pair of characters, then an exact test."""
+    queries = table(spark, sf_dir, "text_units").filter("unit_seq % 100 = 0").select("unit_seq", T.normalize_alias(F.concat_ws("\n", "speaker", "title", "text")).alias("hay"))
+    names = merged(alias_rows(spark, sf_dir)).select("canonical_id", F.col("normalized").alias("needle"), "weight")
+    hits = contained(names, "needle", queries, "hay").join(queries, "hay").join(names, "needle")
+    per = hits.groupBy("unit_seq", "canonical_id").agg(F.round(F.sum(F.col("weight") + F.least(F.length("needle") / 4.0, F.lit(8.0))), 6).alias("score"))
     ranked = per.withColumn("rank", F.row_number().over(W.partitionBy("unit_seq").orderBy(F.desc("score"), "canonical_id")))
-    return ranked.filter("rank <= 14").select("unit_seq", "canonical_id", F.round("score", 6).alias("score"), "rank")
+    return ranked.filter("rank <= 14").select("unit_seq", "canonical_id", "score", "rank")
 
 
 QUERIES = {"build_aliases": build_aliases, "concepts": concepts, "shared_names": shared_names, "expand_queries": expand_queries}
@@ -73,7 +72,7 @@ ORACLE = {
     "concepts": f"""{_ALIAS}, best AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY canonical_id, language ORDER BY weight DESC, length(name), name) = 1)
       SELECT canonical_id, arg_min(name, row(CASE language WHEN 'ko' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, language)) AS primary_name, count(*) AS n_languages FROM best GROUP BY 1""",
     "shared_names": f"{_ALIAS} SELECT language, normalized, count(*) AS n_concepts, max(weight) AS weight FROM merged GROUP BY ALL HAVING count(*) > 1",
-    "expand_queries": f"""{_ALIAS}, q AS (SELECT unit_seq, language, {Sql.alias("concat_ws('', speaker, title)")} AS query FROM text_units WHERE unit_seq % 100 = 0),
-      hits AS (SELECT unit_seq, canonical_id, max(weight * length(normalized)) AS score FROM q JOIN merged m ON m.language = q.language AND length(normalized) >= 3 AND contains(query, normalized) GROUP BY ALL)
-      SELECT unit_seq, canonical_id, round(score, 6) AS score, row_number() OVER (PARTITION BY unit_seq ORDER BY score DESC, canonical_id) AS rank FROM hits QUALIFY rank <= 14""",
+    "expand_queries": f"""{_ALIAS}, q AS (SELECT unit_seq, {Sql.alias("concat_ws(chr(10), speaker, title, text)")} AS query FROM text_units WHERE unit_seq % 100 = 0),
+      hits AS (SELECT unit_seq, canonical_id, round(sum(weight + least(length(normalized) / 4.0::DOUBLE, 8.0::DOUBLE)), 6) AS score FROM q JOIN merged m ON contains(query, normalized) GROUP BY ALL)
+      SELECT unit_seq, canonical_id, score, row_number() OVER (PARTITION BY unit_seq ORDER BY score DESC, canonical_id) AS rank FROM hits QUALIFY rank <= 14""",
 }

@@ -1,6 +1,6 @@
 """Ranks and running values within keys of which one may hold a third of all rows.
 
-The range of the order column is cut into slices; ranks and running values are formed per (key, slice) and continued from
+The order column is cut into slices of about equal size, at its quantiles; ranks and running values are formed per (key, slice) and continued from
 a small table with one row per key and slice. So no task sees a whole hot key, and results equal those of one window.
 Rows whose order value is null come first.
 """
@@ -17,10 +17,10 @@ SLICES = 64
 def sliced(df: DataFrame, order: str) -> DataFrame:
     """Adds ``_slice``, which grows with the order column (a number or a timestamp)."""
     value = F.unix_micros(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith("timestamp") else F.col(order)
-    ends = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
-    low, high = ends["low"] or 0, ends["high"] or 0
-    place = F.floor((value - F.lit(low)).cast("double") * SLICES / F.lit(float(high - low + 1))).cast("int")
-    return df.withColumn("_slice", F.when(place.isNotNull(), F.least(place, F.lit(SLICES - 1))).otherwise(-1))
+    # Approximate quantiles, so an outlier does not put all other rows into one slice; any cuts give the same ranks.
+    cuts = df.agg(F.percentile_approx(value, [k / SLICES for k in range(1, SLICES)], 10_000).alias("cuts")).first()["cuts"] or []
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < value)) if cuts else F.lit(0)
+    return df.withColumn("_slice", F.when(value.isNotNull(), place).otherwise(-1))
 
 
 def ranked(df: DataFrame, keys: list[str], order: str, name: str, *ties: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.text import Sql
 from quillspark.operators import search
 from quillspark.operators.ordering import sliced
 from quillspark.session import table
@@ -26,15 +27,6 @@ ROLES = (("counter", ("반례", "모순", "counter", "contradict", "however", "b
 SOURCE_LEVEL = "L0"
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The units around every hundredth unit: same document, ordinals from one before to one after."""
-    u = table(spark, sf_dir, "text_units")
-    c = u.filter("unit_seq % 100 = 0").select(F.col("unit_seq").alias("center"), F.col("document_id").alias("d"), F.col("ordinal").alias("o"))
-    near = u.join(c, (u.document_id == c.d) & u.ordinal.between(c.o - BEFORE, c.o + AFTER))
-    side = F.when(F.col("ordinal") < F.col("o"), "before").when(F.col("ordinal") > F.col("o"), "after").otherwise("center")
-    return near.select("center", "unit_seq", "ordinal", side.alias("side"))
-
-
 def _around(centers: DataFrame, units: DataFrame, size: int) -> DataFrame:
     """(center, unit_seq, ordinal, side) for centers (center, d, o); the ordinals wanted are listed, so a long document
     costs no more per unit than a short one."""
@@ -44,6 +36,12 @@ def _around(centers: DataFrame, units: DataFrame, size: int) -> DataFrame:
     return near.withColumn("side", side).drop("document_id", "o")
 
 
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units around every unit: same document, ordinals from one before to one after."""
+    u = table(spark, sf_dir, "text_units").filter("ordinal >= 0")
+    return _around(u.select(F.col("unit_seq").alias("center"), F.col("document_id").alias("d"), F.col("ordinal").alias("o")), u, BEFORE).select("center", "unit_seq", "ordinal", "side")
+
+
 def unit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The units around every unit: same document, ordinals from five before to five after."""
     u = table(spark, sf_dir, "text_units").filter("ordinal >= 0")
@@ -66,13 +64,12 @@ def window_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the number of its units and its first three, however many it has."""
+    """Every document with the number of its units and all of them as one text, in order."""
     u = table(spark, sf_dir, "text_units")
-    first = u.withColumn("r", F.row_number().over(W.partitionBy("document_id").orderBy("ordinal", "unit_seq"))).filter("r <= 3")
-    first = first.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), "\n").alias("opening"))
+    first = u.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "unit_seq", "text"))), lambda x: x["text"]), "\n").alias("unit_text"))
     counts = u.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_units"), F.max("ordinal").alias("last_ordinal"))
     d = table(spark, sf_dir, "documents").select("doc_id", "document_id")
-    return d.join(counts, "document_id", "left").join(first, "document_id", "left").select("doc_id", F.coalesce("n_units", F.lit(0)).alias("n_units"), "last_ordinal", "opening")
+    return d.join(counts, "document_id", "left").join(first, "document_id", "left").select("doc_id", F.coalesce("n_units", F.lit(0)).alias("n_units"), "last_ordinal", "unit_text")
 
 
 def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +92,31 @@ def parallel_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(other, ["part", "ordinal"]).filter("language <> other_language").select("unit_seq", "other_language", "other_seq")
 
 
+#: Fields of the metadata that two versions of a unit must not differ in, where both have them.
+SCOPE = ("kind", "deep_kind", "deep_id", "story_id", "volume_id", "volume_index", "item_id")
+
+
+def parallel_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit_seq, language, other_seq): for every unit the first unit of each language with the same item, kind, ordinal and
+    scope, in a document with as many units.
+
+    Equal candidates are reduced to one before any join, so an item with a tenth of all rows forms no pairs of documents."""
+    u = table(spark, sf_dir, "text_units").filter("unit_seq is not null")
+    sizes = u.groupBy("document_id").agg(F.count(F.lit(1)).alias("size"))
+    key = ["canonical_id", "document_kind", "ordinal", "size"]
+    scope = F.struct(*(F.get_json_object("metadata_json", f"$.{k}").alias(k) for k in SCOPE))
+    rows = u.select("unit_seq", "document_id", "canonical_id", "document_kind", "ordinal", "language", scope.alias("scope")).join(sizes, "document_id")
+    heads = rows.filter("language is not null").groupBy(*key, "scope", "language").agg(F.min(F.struct("document_id", "unit_seq")).alias("head"))
+    asked = heads.select(*key, F.col("scope").alias("asked")).distinct()
+    same = F.lit(True)
+    for k in SCOPE:
+        same = same & F.coalesce(F.col(f"asked.{k}") == F.col(f"scope.{k}"), F.lit(True))
+    found = asked.join(heads, key).filter(same).groupBy(*key, "asked", "language").agg(F.min("head").alias("head"))
+    a, b = rows.withColumnRenamed("language", "own").alias("a"), found.alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col("a.scope").eqNullSafe(F.col("b.asked"))]
+    return a.join(b, on).select("a.unit_seq", "b.language", F.col("b.head.unit_seq").alias("other_seq"))
+
+
 def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and the languages in which they have no localization."""
     loc = table(spark, sf_dir, "localizations")
@@ -103,30 +125,6 @@ def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(loc, ["canonical_id", "language"], "left_anti")
 
 
-def evidence_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pin for every hundredth unit: the first forty characters, with an id made of what it pins."""
-    u = table(spark, sf_dir, "text_units").filter("unit_seq % 100 = 0")
-    end = F.least(F.lit(40), F.length("text"))
-    key = F.concat(F.lit('{"document_id": "'), "document_id", F.lit('", "end_char": '), end.cast("string"), F.lit(', "start_char": 0, "unit_id": "'), "unit_id", F.lit('"}'))
-    return u.select("unit_seq", F.concat(F.lit("E-"), F.left(F.sha2(key, 256), F.lit(12))).alias("evidence_id"), F.substring("text", 1, 40).alias("excerpt"))
-
-
-def pins_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append if absent: of new pins, those whose id is not there yet."""
-    pins = evidence_pins(spark, sf_dir)
-    there = pins.filter("unit_seq % 200 = 0").select("evidence_id").distinct()
-    return pins.join(there, "evidence_id", "left_anti").groupBy("evidence_id").agg(F.min("unit_seq").alias("unit_seq"))
-
-
-def pinned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents pinned through a unit, or whose item is; a union of two semi joins, not one with an OR."""
-    u = table(spark, sf_dir, "text_units").filter("unit_seq % 100 = 0")
-    d = table(spark, sf_dir, "documents").select("doc_id", "document_id", "canonical_id")
-    by_document = d.join(u, "document_id", "left_semi").select("doc_id", F.lit(1).alias("how"))
-    by_item = d.join(u, "canonical_id", "left_semi").select("doc_id", F.lit(2).alias("how"))
-    return by_document.unionByName(by_item).groupBy("doc_id").agg(F.min("how").alias("how"))
-
-
 def _quoted(c: Column) -> Column:
     """A JSON string as Python's json.dumps writes it with ensure_ascii=False."""
     out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -246,29 +244,35 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "unit_windows": unit_windows, "hit_windows": hit_windows, "unit_pins": unit_pins, "unit_pins_appended": unit_pins_appended, "documents_of_pins": documents_of_pins,
-    "windows": windows, "window_texts": window_texts, "read_documents": read_documents, "document_units": document_units, "parallel_units": parallel_units, "missing_languages": missing_languages, "evidence_pins": evidence_pins,
-    "pins_appended": pins_appended, "pinned_documents": pinned_documents, "evidence_groups": evidence_groups, "coverage": coverage, "orphans": orphans, "unit_counts": unit_counts,
+    "windows": windows, "window_texts": window_texts, "read_documents": read_documents, "document_units": document_units, "parallel_units": parallel_units, "parallel_reads": parallel_reads, "missing_languages": missing_languages,
+    "evidence_groups": evidence_groups, "coverage": coverage, "orphans": orphans, "unit_counts": unit_counts,
     "reference_coverage": reference_coverage, "session_fold": session_fold, "event_properties": event_properties,
 }
 
-_PIN = """SELECT unit_seq, 'E-' || left(sha256('{"document_id": "' || document_id || '", "end_char": ' || least(40, length(text)) || ', "start_char": 0, "unit_id": "' || unit_id || '"}'), 12) AS evidence_id, substr(text, 1, 40) AS excerpt
-  FROM text_units WHERE unit_seq % 100 = 0"""
+_HAY = f"""lower({Sql.clean("concat_ws(chr(10), text, title)")})"""
+_ROLE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({_HAY}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in ROLES) + " ELSE 'context' END"
+_JSON = lambda c: f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+_PINS = f"""SELECT unit_seq, document_id, canonical_id, 'E-' || left(sha256('{{"document_id": ' || {_JSON('document_id')} || ', "end_char": ' || length(text) || ', "excerpt": ' || {_JSON('text')} || ', "hypothesis_ids": [], "role": "' || role || '", "source_level": "{SOURCE_LEVEL}", "start_char": 0, "unit_id": ' || {_JSON('unit_id')} || '}}'), 12) AS evidence_id,
+  role, length(text) AS end_char, text AS excerpt FROM (SELECT *, {_ROLE} AS role FROM text_units WHERE length(text) > 0)"""
+_SCOPE_SQL = " AND ".join(f"coalesce(a.{k} = b.{k}, true)" for k in SCOPE)
 
 ORACLE = {
     "unit_windows": "SELECT c.unit_seq AS center, u.unit_seq, u.ordinal, CASE WHEN u.ordinal < c.ordinal THEN 'before' WHEN u.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side FROM text_units u JOIN text_units c ON u.document_id = c.document_id AND u.ordinal BETWEEN c.ordinal - 5 AND c.ordinal + 5",
     "documents_of_pins": "WITH u AS (SELECT * FROM text_units WHERE length(text) > 0) SELECT doc_id, CASE WHEN document_id IN (SELECT document_id FROM u) THEN 1 ELSE 2 END AS how FROM documents WHERE document_id IN (SELECT document_id FROM u) OR canonical_id IN (SELECT canonical_id FROM u)",
-    "windows": "SELECT c.unit_seq AS center, u.unit_seq, u.ordinal, CASE WHEN u.ordinal < c.ordinal THEN 'before' WHEN u.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side FROM text_units u JOIN text_units c ON c.unit_seq % 100 = 0 AND u.document_id = c.document_id AND u.ordinal BETWEEN c.ordinal - 1 AND c.ordinal + 1",
+    "windows": "SELECT c.unit_seq AS center, u.unit_seq, u.ordinal, CASE WHEN u.ordinal < c.ordinal THEN 'before' WHEN u.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side FROM text_units u JOIN text_units c ON u.document_id = c.document_id AND u.ordinal BETWEEN c.ordinal - 1 AND c.ordinal + 1",
     "window_texts": "SELECT unit_seq, count(*) OVER w AS n_units, CAST(sum(length(text)) OVER w AS BIGINT) AS n_chars FROM text_units WINDOW w AS (PARTITION BY document_id ORDER BY ordinal RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
-    "read_documents": """WITH r AS (SELECT document_id, text, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, unit_seq) AS r FROM text_units), o AS (SELECT document_id, string_agg(text, chr(10) ORDER BY r) AS opening FROM r WHERE r <= 3 GROUP BY 1),
+    "read_documents": """WITH r AS (SELECT document_id, text, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, unit_seq) AS r FROM text_units), o AS (SELECT document_id, string_agg(text, chr(10) ORDER BY r) AS unit_text FROM r GROUP BY 1),
       c AS (SELECT document_id, count(*) AS n_units, max(ordinal) AS last_ordinal FROM text_units GROUP BY 1)
-      SELECT doc_id, coalesce(n_units, 0) AS n_units, last_ordinal, opening FROM documents LEFT JOIN c USING (document_id) LEFT JOIN o USING (document_id)""",
+      SELECT doc_id, coalesce(n_units, 0) AS n_units, last_ordinal, unit_text FROM documents LEFT JOIN c USING (document_id) LEFT JOIN o USING (document_id)""",
     "document_units": "SELECT doc_id, ordinal, unit_seq, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, unit_seq) AS place, u.text FROM documents d JOIN text_units u USING (document_id)",
     "parallel_units": r"""WITH h AS (SELECT regexp_replace(document_id, '^((?:[^:]*:){3})[^:]*', '\1') AS part, ordinal, language, min(unit_seq) AS unit_seq FROM text_units GROUP BY ALL)
       SELECT a.unit_seq, b.language AS other_language, b.unit_seq AS other_seq FROM h a JOIN h b USING (part, ordinal) WHERE a.language <> b.language""",
     "missing_languages": "SELECT canonical_id, language FROM (SELECT DISTINCT canonical_id FROM items) CROSS JOIN (SELECT unnest(['en', 'ko', 'ja', 'zh-Hans']) AS language) EXCEPT SELECT canonical_id, language FROM localizations",
-    "evidence_pins": _PIN,
-    "pins_appended": f"WITH p AS ({_PIN}) SELECT evidence_id, min(unit_seq) AS unit_seq FROM p WHERE evidence_id NOT IN (SELECT evidence_id FROM p WHERE unit_seq % 200 = 0) GROUP BY 1",
-    "pinned_documents": "WITH u AS (SELECT * FROM text_units WHERE unit_seq % 100 = 0) SELECT doc_id, CASE WHEN document_id IN (SELECT document_id FROM u) THEN 1 ELSE 2 END AS how FROM documents WHERE document_id IN (SELECT document_id FROM u) OR canonical_id IN (SELECT canonical_id FROM u)",
+    "unit_pins": _PINS,
+    "unit_pins_appended": f"WITH p AS MATERIALIZED ({_PINS}) SELECT evidence_id, min(unit_seq) AS unit_seq FROM p WHERE evidence_id NOT IN (SELECT evidence_id FROM p WHERE unit_seq % 2 = 0) GROUP BY 1",
+    "parallel_reads": f"""WITH u AS (SELECT unit_seq, document_id, canonical_id, document_kind, ordinal, language, {', '.join(f"metadata_json->>'$.{k}' AS {k}" for k in SCOPE)}, count(*) OVER (PARTITION BY document_id) AS size FROM text_units),
+      f AS (SELECT a.unit_seq, b.language, b.unit_seq AS other_seq, row_number() OVER (PARTITION BY a.unit_seq, b.language ORDER BY b.document_id, b.unit_seq) AS r FROM u a JOIN u b ON a.canonical_id = b.canonical_id AND a.document_kind = b.document_kind AND a.ordinal = b.ordinal AND a.size = b.size AND {_SCOPE_SQL})
+      SELECT unit_seq, language, other_seq FROM f WHERE r = 1""",
     "evidence_groups": f"""SELECT CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in CONTRAST)} THEN 'contrast' WHEN document_kind IN ('story', 'volume') THEN 'story' ELSE 'other' END AS evidence, language, count(*) AS n, count(DISTINCT canonical_id) AS n_items FROM text_units GROUP BY 1, 2""",
     "coverage": " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce({c}, 'unknown') AS value, count(*) AS n FROM documents GROUP BY 2" for c in ("language", "document_kind", "content_type", "source")),
     "orphans": " UNION ALL ".join(f"SELECT '{c}.{k}' AS reference, count(*) AS n FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL)" for c, k, p, pk in REFERENCES),

@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the cluster.
 
-    Only a session that names none (tests on one machine) gets a folder of its own.
+    Only a session on one machine that names none (as in tests) gets a folder of its own; on a cluster a folder of one
+    machine would lose data between executors, so the setting is asked for.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not given:
         given = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), f"quillspark-shared-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", given)
