@@ -4,8 +4,9 @@ Documents whose document_id differs only in the language part are counterparts.
 space: two lines are linked where words of one are translations of words of the other. The word translations come from
 the corpus itself (which words meet in lines at the same relative height, over all counterparts). In that space chains
 of points with a consistent slope are searched, each point looking for its predecessor in a rectangle that grows until
-it holds one; noisy points off the chain are filtered; chains become blocks of lines, and strong points that no chain
-explains are inversions (moved lines).
+it holds one that is worth following; noisy points off the chain are filtered. Further chains are searched in what the
+first leaves (moved passages), strong single points are inversions (moved lines), and chains become blocks of lines: points
+that share a line, and the lines that two neighbouring points of the chain enclose.
 
 Defined results
   null, empty or blank texts: no lines, no row.
@@ -30,6 +31,8 @@ BAND = 1
 MEETINGS, GAIN = 3, 0.12
 #: Least share of a line's weight that must be translated; least share of a text's lines that must be linked.
 LINKED, MOVED, RELATED = 0.38, 0.6, 0.3
+#: The same of a line that its neighbours enclose.
+ENCLOSED = 0.25
 #: Least mean share of translated weight over a pair's links; real translations stay well above it.
 SURE = 0.58
 
@@ -142,7 +145,7 @@ def _chain(i: np.ndarray, j: np.ndarray, score: np.ndarray, slope: float) -> np.
                 at = int(np.argmax(value))
                 if value[at] > 0:
                     best[k], back[k] = score[k] + value[at], inside[at]
-                break
+                    break
             if size > i[k]:
                 break
             size *= 2
@@ -190,8 +193,21 @@ def _blocks(points: pd.DataFrame) -> pd.DataFrame:
     accept = leads & ((on & (covered >= LINKED)) | (near & (covered >= LINKED + 0.12) & (score >= 0.36)))
     # Off the chain: moved lines only if both sides agree.
     accept |= leads & ~near & mutual & (np.minimum(a, b) >= MOVED)
+    # Moved passages: further chains among strong points of lines that nothing has linked yet.
+    spare = np.flatnonzero(leads & ~near & (covered >= MOVED) & ~np.isin(i, i[accept]) & ~np.isin(j, j[accept]))
+    while len(spare) > 1:
+        chain = spare[_chain(i[spare], j[spare], score[spare], n_y / n_x)]
+        if len(chain) < 2 or score[chain].mean() < SURE:
+            break
+        accept[chain] = True
+        spare = spare[~np.isin(i[spare], i[chain]) & ~np.isin(j[spare], j[chain])]
+    # A block also takes in the one line of each text that two neighbouring points of the chain enclose, if their words meet.
+    main = np.flatnonzero(on & accept)
+    ends = {(i[k], j[k]) for k in main}
+    free = ~np.isin(i, i[accept]) & ~np.isin(j, j[accept]) & (covered >= ENCLOSED)
+    accept[[k for k in np.flatnonzero(free) if (i[k] - 1, j[k] - 1) in ends and (i[k] + 1, j[k] + 1) in ends]] = True
     linked = min(len(np.unique(i[accept])) / n_x, len(np.unique(j[accept])) / n_y) if accept.any() else 0.0
-    if linked < RELATED or (on & accept).sum() < min(2, n_x, n_y) or score[accept].mean() < SURE:
+    if linked < RELATED or (on & accept).sum() < min(2, n_x, n_y) or score[accept & leads].mean() < SURE:
         return NOTHING
     left, right = (x, y) if x < y else (y, x)
     li, rj = (i[accept], j[accept]) if x < y else (j[accept], i[accept])

@@ -31,3 +31,17 @@ def test_words_in_every_line_of_long_texts(spark):
     words = spark.createDataFrame([("en|xx", "name", "eman", 0.5, 1.0)], "tongues string, x string, y string, s double, rarity double")
     got = align.cells(pairs, lines, words).collect()
     assert len(got) == n * n and all(abs(r["a"] - 1) < 1e-9 and abs(r["b"] - 1) < 1e-9 for r in got)
+
+
+def test_moved_merged_and_enclosed_lines():
+    """A moved line that merges two, and a weak line between aligned neighbours, from their cells."""
+    import pandas as pd
+
+    from quillspark.llm import align
+
+    cells = [(k, k, 0.9, 0.9) for k in range(6)] + [(7, 7, 0.9, 0.9), (6, 6, 0.3, 0.28)]
+    # Lines 8 and 9 of x are one line of y, which was moved to the front of its text (line 20 here stands far off).
+    cells += [(8, 20, 0.9, 0.5), (9, 20, 0.9, 0.5)]
+    points = pd.DataFrame(cells, columns=["i", "j", "a", "b"]).assign(doc_x=1, doc_y=2, n_x=10, n_y=21)
+    got = {tuple(r) for r in align._blocks(points)[["line_a", "line_b"]].itertuples(index=False)}
+    assert got == {(k, k) for k in range(8)} | {(8, 20), (9, 20)}
