@@ -1,12 +1,13 @@
 """Exact-duplicate and parallel groups, data-quality counters, occurrence ids, fingerprints.
 
-Groups are aggregated before they are shuffled; lists of members are kept to the first few, the counts cover all.
+Groups are aggregated before they are shuffled; reports list the first ids and most frequent titles, the counts cover all.
 Null texts count as empty texts here, as in the rule this follows; null titles count as ``<untitled>``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -89,7 +90,59 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("source").agg(F.count(F.lit(1)).alias("n"), part(1).alias("low"), part(8).alias("high"))
 
 
+#: Order of preference of sources and kinds, and how many titles and ids a report lists.
+SOURCE_PRIORITY = {"lumen_archive": 10, "lumen_readable": 20}
+REPORT_KINDS = {"detail": 10, "deep": 20, "readable": 25, "list": 30}
+TITLES, IDS = 20, 50
+
+
+def _order(column: str, given: dict[str, int], other: int) -> Column:
+    out = F.lit(other)
+    for value, rank in given.items():
+        out = F.when(F.col(column) == value, rank).otherwise(out)
+    return out
+
+
+def _report(rows: DataFrame, facets: dict[str, str]) -> DataFrame:
+    """Per key of rows (key, doc_id, ...): counts of the values of each facet, the most frequent titles, the first ids.
+
+    Values are counted before anything is ranked, and ids are cut to the first few on either side of the shuffle."""
+    # Equal values are one row from here on, so a group with a third of all documents is ranked by its different values.
+    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("facet"), F.col(c).alias("value")) for name, c in facets.items()))).alias("f")
+    counts = rows.select("key", pairs).groupBy("key", "f.facet", "f.value").agg(F.count(F.lit(1)).alias("k"))
+    placed = counts.withColumn("r", F.row_number().over(W.partitionBy("key", "facet").orderBy(F.desc("k"), "value"))).filter((F.col("facet") != "titles") | (F.col("r") <= TITLES))
+    entry = F.when(F.col("facet") == "titles", F.col("value")).otherwise(F.concat_ws(":", "value", "k"))
+    listed = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("facet") == name, F.struct("r", entry.alias("e"))))), lambda x: x["e"]), "|").alias(name)
+    lists = placed.groupBy("key").agg(*map(listed, facets))
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("doc_id"))).filter(F.col("r") <= IDS)
+    ids = first.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("doc_ids"))
+    return lists.join(ids, "key")
+
+
+def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", "document_id", "canonical_id", F.coalesce("language", F.lit("und")).alias("language"), F.coalesce("title", F.lit("<untitled>")).alias("title"), F.coalesce("content_type", F.lit("unknown")).alias("content_type"), F.coalesce("source", F.lit("unknown")).alias("source"), "document_kind", "text")
+    key = F.sha2(T.normalize_for_hash(F.coalesce("text", F.lit(""))), 256)
+    return d.withColumn("text_hash", key).drop("text")
+
+
+def duplicate_group_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group of exact copies: size, representative by source, kind and id, counts of sources and content types, its most
+    frequent titles and first ids."""
+    d = _report_rows(spark, sf_dir).withColumn("key", F.concat_ws(":", F.lit("exact"), "language", F.left("text_hash", F.lit(20))))
+    rank = F.struct(_order("source", SOURCE_PRIORITY, 100).alias("a"), _order("document_kind", REPORT_KINDS, 50).alias("b"), F.col("document_id").alias("c"))
+    groups = d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("language").alias("language"), F.min("text_hash").alias("text_hash"), F.min_by("document_id", rank).alias("representative")).filter("n > 1")
+    return groups.join(_report(d.join(groups.select("key"), "key", "left_semi"), {"sources": "source", "content_types": "content_type", "titles": "title"}), "key").withColumnRenamed("key", "group_id")
+
+
+def parallel_group_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with several documents: size, counts of languages, sources and content types, titles and first ids."""
+    d = _report_rows(spark, sf_dir).filter("canonical_id is not null").withColumnRenamed("canonical_id", "key")
+    groups = d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return groups.join(_report(d.join(groups.select("key"), "key", "left_semi"), {"languages": "language", "sources": "source", "content_types": "content_type", "titles": "title"}), "key").withColumnRenamed("key", "canonical_id")
+
+
 QUERIES = {
+    "duplicate_group_reports": duplicate_group_reports, "parallel_group_reports": parallel_group_reports,
     "exact_groups": exact_groups, "duplicate_status": duplicate_status, "parallel_groups": parallel_groups, "duplicate_titles": duplicate_titles,
     "quality_report": quality_report, "occurrence_ids": occurrence_ids, "fingerprints": fingerprints,
 }
@@ -99,7 +152,27 @@ _KEYED = f"""WITH k AS (SELECT *, CASE document_kind {' '.join(f"WHEN '{k}' THEN
   g AS (SELECT group_id, count(*) AS n, arg_min(document_id, row(priority, document_id)) AS representative, count(DISTINCT source) AS n_sources FROM k GROUP BY group_id)"""
 _GENERIC = f"(title IS NULL OR {Sql.strip('title')} IN {T.GENERIC_TITLES})"
 
+_ROWS = f"""d AS MATERIALIZED (SELECT doc_id, document_id, canonical_id, coalesce(language, 'und') AS language, coalesce(title, '<untitled>') AS title, coalesce(content_type, 'unknown') AS content_type, coalesce(source, 'unknown') AS source, document_kind,
+  sha256({Sql.for_hash("coalesce(text, '')")}) AS text_hash FROM documents WHERE doc_id IS NOT NULL)"""
+
+
+def _facet_sql(name: str, column: str) -> str:
+    value = "value" if name == "titles" else "value || ':' || c"
+    return f"(SELECT key, string_agg({value}, '|' ORDER BY c DESC, value) AS {name} FROM (SELECT key, {column} AS value, count(*) AS c FROM k GROUP BY key, {column} QUALIFY row_number() OVER (PARTITION BY key ORDER BY c DESC, value) <= {TITLES if name == 'titles' else 1_000_000}) GROUP BY key)"
+
+
+def _report_sql(facets: dict[str, str]) -> str:
+    return " ".join(f"JOIN {_facet_sql(name, c)} USING (key)" for name, c in facets.items()) + f" JOIN (SELECT key, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) <= {IDS}) GROUP BY key) USING (key)"
+
+
+_RANK = "row(CASE source " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in SOURCE_PRIORITY.items()) + " ELSE 100 END, CASE document_kind " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in REPORT_KINDS.items()) + " ELSE 50 END, document_id)"
+
 ORACLE = {
+    "duplicate_group_reports": f"""WITH {_ROWS}, k AS MATERIALIZED (SELECT *, 'exact:' || language || ':' || left(text_hash, 20) AS key FROM d),
+      g AS (SELECT key, count(*) AS n, min(language) AS language, min(text_hash) AS text_hash, arg_min(document_id, {_RANK}) AS representative FROM k GROUP BY key HAVING count(*) > 1)
+      SELECT key AS group_id, * EXCLUDE (key) FROM g {_report_sql({"sources": "source", "content_types": "content_type", "titles": "title"})}""",
+    "parallel_group_reports": f"""WITH {_ROWS}, k AS MATERIALIZED (SELECT * EXCLUDE (canonical_id), canonical_id AS key FROM d WHERE canonical_id IS NOT NULL), g AS (SELECT key, count(*) AS n FROM k GROUP BY key HAVING count(*) > 1)
+      SELECT key AS canonical_id, * EXCLUDE (key) FROM g {_report_sql({"languages": "language", "sources": "source", "content_types": "content_type", "titles": "title"})}""",
     "exact_groups": f"{_KEYED} SELECT * FROM g WHERE n > 1",
     "duplicate_status": f"""{_KEYED}, j AS (SELECT doc_id, group_id, n, representative, CASE WHEN n = 1 THEN 'unique' WHEN document_id = representative THEN 'representative' ELSE 'duplicate' END AS status FROM k JOIN g USING (group_id))
       SELECT doc_id, CASE WHEN n > 1 THEN group_id END AS group_id, status, CASE WHEN status = 'duplicate' THEN representative END AS duplicate_of FROM j""",

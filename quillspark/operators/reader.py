@@ -258,6 +258,9 @@ _SCOPE_SQL = " AND ".join(f"coalesce(a.{k} = b.{k}, true)" for k in SCOPE)
 
 ORACLE = {
     "unit_windows": "SELECT c.unit_seq AS center, u.unit_seq, u.ordinal, CASE WHEN u.ordinal < c.ordinal THEN 'before' WHEN u.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side FROM text_units u JOIN text_units c ON u.document_id = c.document_id AND u.ordinal BETWEEN c.ordinal - 5 AND c.ordinal + 5",
+    "hit_windows": f"""WITH {search._U}, h AS (SELECT query_id, unit_seq FROM ({search._top_sql('SELECT * FROM u')}))
+      SELECT query_id, c.unit_seq AS center, t.unit_seq, t.ordinal, CASE WHEN t.ordinal < c.ordinal THEN 'before' WHEN t.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side
+      FROM h JOIN text_units c ON c.unit_seq = h.unit_seq JOIN text_units t ON t.document_id = c.document_id AND t.ordinal BETWEEN c.ordinal - {HIT_WINDOW} AND c.ordinal + {HIT_WINDOW}""",
     "documents_of_pins": "WITH u AS (SELECT * FROM text_units WHERE length(text) > 0) SELECT doc_id, CASE WHEN document_id IN (SELECT document_id FROM u) THEN 1 ELSE 2 END AS how FROM documents WHERE document_id IN (SELECT document_id FROM u) OR canonical_id IN (SELECT canonical_id FROM u)",
     "windows": "SELECT c.unit_seq AS center, u.unit_seq, u.ordinal, CASE WHEN u.ordinal < c.ordinal THEN 'before' WHEN u.ordinal > c.ordinal THEN 'after' ELSE 'center' END AS side FROM text_units u JOIN text_units c ON u.document_id = c.document_id AND u.ordinal BETWEEN c.ordinal - 1 AND c.ordinal + 1",
     "window_texts": "SELECT unit_seq, count(*) OVER w AS n_units, CAST(sum(length(text)) OVER w AS BIGINT) AS n_chars FROM text_units WINDOW w AS (PARTITION BY document_id ORDER BY ordinal RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
