@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,39 +95,97 @@ def lexicon(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return scored.select("tongues", "x", "y", "s", F.log(F.col("n") / F.col("n_x")).alias("rarity"))
 
 
-def cells(pairs: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
-    """(tongues, doc_x, doc_y, n_x, n_y, i, j, a, b): linked pairs of lines; a is the share of line i that j translates, weighted
-    by rarity and by how well a word is translated at all, b that of line j in i."""
-    mine = lambda doc, line: lines.select(F.col("doc_id").alias(doc), F.col("line").alias(line), F.explode("words").alias("w"))
+def sides(pairs: DataFrame, lines: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words of both texts of every pair of counterparts that are translated at all: (doc_x, doc_y, n_x, n_y, i, weight, told)
+    and (doc_x, doc_y, j, w, weight).
+
+    ``told`` lists the translations of the word with their scores against the best of either word. A word's weight is its
+    rarity and how well it is translated at all; numbers translate themselves."""
     best_x = words.groupBy("tongues", "x").agg(F.max("s").alias("top"), F.max("rarity").alias("rarity"))
     best_y = words.groupBy("tongues", "y").agg(F.max("s").alias("top"), F.max("rarity").alias("rarity"))
+    told = words.join(best_x.select("tongues", "x", F.col("top").alias("tx")), ["tongues", "x"]).join(best_y.select("tongues", "y", F.col("top").alias("ty")), ["tongues", "y"])
+    entry = F.struct("y", F.least(F.lit(1.0), F.col("s") / F.col("tx")).alias("rx"), F.least(F.lit(1.0), F.col("s") / F.col("ty")).alias("ry"))
+    told = told.groupBy("tongues", F.col("x").alias("w")).agg(F.max("tx").alias("top"), F.max("rarity").alias("rarity"), F.collect_list(entry).alias("told"))
     number = F.col("w").startswith("#")
 
-    def weighted(doc: str, line: str, other: str, best: DataFrame, side: str) -> DataFrame:
-        rows = pairs.select("tongues", doc, other).join(mine(doc, line), doc)
-        rows = rows.join(best.withColumnRenamed(side, "w"), ["tongues", "w"], "left").filter(number | F.col("top").isNotNull())
+    def weighted(doc: str, line: str, known: DataFrame) -> DataFrame:
+        # Lines travel whole to their pairs; only there they become words.
+        rows = pairs.join(lines.select(F.col("doc_id").alias(doc), F.col("line").alias(line), "words"), doc)
+        rows = rows.select("tongues", "doc_x", "doc_y", "n_x", "n_y", line, F.explode("words").alias("w"))
         # A word in many lines of this very text says little about which line is meant.
-        here = F.count(F.lit(1)).over(W.partitionBy("doc_x", "doc_y", "w"))
-        return rows.withColumn("here", here).select("tongues", "doc_x", "doc_y", line, "w", "here", F.when(number, F.lit(2.0)).otherwise(F.col("top") * (0.3 + F.col("rarity"))) / F.sqrt("here")).toDF("tongues", "doc_x", "doc_y", line, "w", "here", "weight")
+        rows = rows.withColumn("here", F.count(F.lit(1)).over(W.partitionBy("doc_x", "doc_y", "w")))
+        rows = rows.join(known, ["tongues", "w"], "left").filter(number | F.col("top").isNotNull())
+        return rows.withColumn("weight", F.when(number, F.lit(2.0)).otherwise(F.col("top") * (0.3 + F.col("rarity"))) / F.sqrt("here"))
+
+    itself = F.array(F.struct(F.col("w").alias("y"), F.lit(1.0).alias("rx"), F.lit(1.0).alias("ry")))
+    x = weighted("doc_x", "i", told).select("doc_x", "doc_y", "n_x", "n_y", "i", "weight", F.when(number, itself).otherwise(F.col("told")).alias("told"))
+    y = weighted("doc_y", "j", best_y.withColumnRenamed("y", "w")).select(*(F.col(c).alias(c) for c in ("doc_x", "doc_y", "j", "w", "weight")))
+    return x, y
+
+
+CELLS = pa.schema([(c, pa.int64()) for c in ("doc_x", "doc_y", "n_x", "n_y", "i", "j")] + [("a", pa.float64()), ("b", pa.float64())])
+#: Word links of one pair of texts that are laid out at once; long texts take several rounds.
+LINKS = 2_000_000
+
+
+def _sums(part: np.ndarray, cell: np.ndarray, value: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Per cell the sum, over the words of one side, of the best value of each word."""
+    order = np.lexsort((value, cell, part))
+    part, cell, value = part[order], cell[order], value[order]
+    last = np.append((part[1:] != part[:-1]) | (cell[1:] != cell[:-1]), True)
+    return np.bincount(np.searchsorted(cells, cell[last]), weights=value[last], minlength=len(cells))
+
+
+def _cells(x: pa.Table, y: pa.Table) -> dict[str, np.ndarray]:
+    """The linked lines i and j of one pair of texts; a is the share of the weight of line i that j translates, b that of line j
+    in i. Words common in both texts link much, but with little weight; none is left out."""
+    if not x.num_rows or not y.num_rows:
+        return {c: np.zeros(0, "int64") for c in CELLS.names}
+    pair = {c: x[c][0].as_py() for c in ("doc_x", "doc_y", "n_x", "n_y")}
+    n_y = pair["n_y"]
+    i, vx = x["i"].to_numpy().astype("int64"), x["weight"].to_numpy()
+    j, vy = y["j"].to_numpy().astype("int64"), y["weight"].to_numpy()
+    told = x["told"].combine_chunks()
+    mine = np.repeat(np.arange(len(i)), pc.list_value_length(told).to_numpy())
+    told = told.flatten()
+    coded = y["w"].combine_chunks().dictionary_encode()
+    at = pc.fill_null(pc.index_in(told.field("y"), value_set=coded.dictionary), -1).to_numpy()
+    rx, ry = told.field("rx").to_numpy(), told.field("ry").to_numpy()
+    hit = np.flatnonzero(at >= 0)
+    hit = hit[np.argsort(i[mine[hit]], kind="stable")]
+    mine, at, rx, ry = mine[hit], at[hit], rx[hit], ry[hit]
+    code = coded.indices.to_numpy()
+    by_word = np.argsort(code, kind="stable")
+    count = np.bincount(code, minlength=len(coded.dictionary))
+    begin = np.cumsum(count) - count
+    out = []
+    # Rounds hold whole lines of x, so each cell is complete in its round.
+    rounds = np.cumsum(count[at]) // LINKS
+    edges = np.flatnonzero(np.diff(rounds) > 0) + 1
+    edges = np.unique(np.searchsorted(i[mine], i[mine[edges]])) if len(edges) else edges
+    for part in np.split(np.arange(len(at)), edges):
+        n = count[at[part]]
+        link = np.repeat(part, n)
+        if not len(link):
+            continue
+        other = by_word[begin[at[link]] + np.arange(len(link)) - np.repeat(np.cumsum(n) - n, n)]
+        row = mine[link]
+        cell = i[row] * n_y + j[other]
+        found = np.unique(cell)
+        out.append((found, _sums(row, cell, rx[link] * vx[row], found), _sums(other, cell, ry[link] * vy[other], found)))
+    if not out:
+        return {c: np.zeros(0, "int64") for c in CELLS.names}
+    found, gx, gy = (np.concatenate(c) for c in zip(*out))
+    at_i, at_j = found // n_y, found % n_y
+    one = np.ones(len(found), "int64")
+    return {c: v * one for c, v in pair.items()} | {"i": at_i, "j": at_j, "a": gx / np.bincount(i, weights=vx)[at_i], "b": gy / np.bincount(j, weights=vy)[at_j]}
 
-    wx = materialize(weighted("doc_x", "i", "doc_y", best_x, "x"))
-    wy = materialize(weighted("doc_y", "j", "doc_x", best_y, "y"))
-    told = words.join(best_x.select("tongues", "x", F.col("top").alias("tx")), ["tongues", "x"]).join(best_y.select("tongues", "y", F.col("top").alias("ty")), ["tongues", "y"])
-    told = told.select("tongues", "x", "y", F.least(F.lit(1.0), F.col("s") / F.col("tx")).alias("rx"), F.least(F.lit(1.0), F.col("s") / F.col("ty")).alias("ry"))
-    x = wx.select("tongues", "doc_x", "doc_y", "i", F.col("w").alias("x"), F.col("here").alias("hx"), F.col("weight").alias("vx"))
-    y = wy.select("doc_x", "doc_y", "j", F.col("w").alias("y"), F.col("here").alias("hy"), F.col("weight").alias("vy"))
-    by_word = x.join(told, ["tongues", "x"]).join(y, ["doc_x", "doc_y", "y"])
-    same = x.join(y.withColumn("x", F.col("y")), ["doc_x", "doc_y", "x"]).filter(F.col("x").startswith("#")).select("tongues", "doc_x", "doc_y", "i", "x", "hx", "vx", "y", "j", "hy", "vy", F.lit(1.0).alias("rx"), F.lit(1.0).alias("ry"))
-    columns = ["doc_x", "doc_y", "i", "j", "x", "y", "vx", "vy", "rx", "ry"]
-    # Words common in both texts link much, but with little weight; none is left out, as their weight is in the totals.
-    sizes = pairs.select("doc_x", "doc_y", "n_x", "n_y")
-    points = by_word.select(*columns).unionByName(same.select(*columns)).join(sizes, ["doc_x", "doc_y"])
-    of_x = points.groupBy("doc_x", "doc_y", "n_x", "n_y", "i", "j", "x").agg((F.max("rx") * F.first("vx")).alias("g")).groupBy("doc_x", "doc_y", "n_x", "n_y", "i", "j").agg(F.sum("g").alias("gx"))
-    of_y = points.groupBy("doc_x", "doc_y", "i", "j", "y").agg((F.max("ry") * F.first("vy")).alias("g")).groupBy("doc_x", "doc_y", "i", "j").agg(F.sum("g").alias("gy"))
-    all_x = wx.groupBy("doc_x", "doc_y", "i").agg(F.sum("weight").alias("tx"))
-    all_y = wy.groupBy("doc_x", "doc_y", "j").agg(F.sum("weight").alias("ty"))
-    out = of_x.join(of_y, ["doc_x", "doc_y", "i", "j"]).join(all_x, ["doc_x", "doc_y", "i"]).join(all_y, ["doc_x", "doc_y", "j"])
-    return out.select("doc_x", "doc_y", "n_x", "n_y", "i", "j", (F.col("gx") / F.col("tx")).alias("a"), (F.col("gy") / F.col("ty")).alias("b"))
+
+def cells(pairs: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_x, doc_y, n_x, n_y, i, j, a, b): the linked lines of all pairs of counterparts."""
+    x, y = sides(pairs, lines, words)
+    rows = x.groupBy("doc_x", "doc_y").cogroup(y.groupBy("doc_x", "doc_y"))
+    return rows.applyInArrow(lambda a, b: pa.table(_cells(a, b), schema=CELLS), "doc_x long, doc_y long, n_x long, n_y long, i long, j long, a double, b double")
 
 
 def _chain(i: np.ndarray, j: np.ndarray, score: np.ndarray, slope: float) -> np.ndarray:
@@ -166,13 +226,14 @@ def _greatest(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out[group]
 
 
-NOTHING = pd.DataFrame({"doc_a": [], "line_a": [], "doc_b": [], "line_b": []}).astype({"doc_a": "int64", "line_a": "int32", "doc_b": "int64", "line_b": "int32"})
+RESULT = pa.schema([("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32())])
+NOTHING = RESULT.empty_table().to_pandas()
 
 
-def _blocks(points: pd.DataFrame) -> pd.DataFrame:
+def _blocks(points: pd.DataFrame | dict[str, np.ndarray]) -> pd.DataFrame:
     """The aligned lines of one pair of counterparts from its cells."""
-    n_x, n_y, x, y = (int(points[c].iat[0]) for c in ("n_x", "n_y", "doc_x", "doc_y"))
-    i, j, a, b = (points[c].to_numpy() for c in ("i", "j", "a", "b"))
+    n_x, n_y, x, y = (int(np.asarray(points[c])[0]) for c in ("n_x", "n_y", "doc_x", "doc_y"))
+    i, j, a, b = (np.asarray(points[c]) for c in ("i", "j", "a", "b"))
     order = np.lexsort((j, i))
     i, j, a, b = i[order], j[order], a[order], b[order]
     score = (a + b) / 2
@@ -214,13 +275,20 @@ def _blocks(points: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_a": left, "line_a": li.astype("int32"), "doc_b": right, "line_b": rj.astype("int32")})
 
 
+def _aligned(x: pa.Table, y: pa.Table) -> pa.Table:
+    """The aligned lines of one pair of counterparts from its weighted words."""
+    points = _cells(x, y)
+    found = _blocks(points) if len(points["i"]) else NOTHING
+    return pa.table({c: found[c].to_numpy() for c in RESULT.names}, schema=RESULT)
+
+
 def align(documents: DataFrame) -> DataFrame:
     """(doc_a, line_a, doc_b, line_b) of all lines of counterparts that translate each other or a part."""
     lines = line_table(documents)
     pairs = materialize(pair_table(lines))
-    found = cells(pairs, lines, materialize(lexicon(pairs, lines)))
+    x, y = sides(pairs, lines, materialize(lexicon(pairs, lines)))
     # A group is one pair of documents: as large as these two texts, however many there are.
-    return found.groupBy("doc_x", "doc_y").applyInPandas(_blocks, "doc_a long, line_a int, doc_b long, line_b int")
+    return x.groupBy("doc_x", "doc_y").cogroup(y.groupBy("doc_x", "doc_y")).applyInArrow(_aligned, "doc_a long, line_a int, doc_b long, line_b int")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,32 @@ def test_moved_merged_and_enclosed_lines():
     points = pd.DataFrame(cells, columns=["i", "j", "a", "b"]).assign(doc_x=1, doc_y=2, n_x=10, n_y=21)
     got = {tuple(r) for r in align._blocks(points)[["line_a", "line_b"]].itertuples(index=False)}
     assert got == {(k, k) for k in range(8)} | {(8, 20), (9, 20)}
+
+
+def test_cells_do_not_depend_on_the_rounds(monkeypatch):
+    """Long texts are laid out in rounds of whole lines; the cells equal a plain double loop over all words."""
+    import pyarrow as pa
+    import pytest
+
+    rng = random.Random(5)
+    told = {f"x{k}": [(f"y{m}", rng.random(), rng.random()) for m in rng.sample(range(12), 3)] for k in range(12)}
+    xs = [(i, w, rng.random()) for i in range(30) for w in rng.sample(sorted(told), 4)]
+    ys = [(j, f"y{m}", rng.random()) for j in range(25) for m in rng.sample(range(12), 4)]
+    rng.shuffle(xs)
+    entry = pa.list_(pa.struct([("y", pa.string()), ("rx", pa.float64()), ("ry", pa.float64())]))
+    heads = {c: [n] * len(xs) for c, n in (("doc_x", 1), ("doc_y", 2), ("n_x", 30), ("n_y", 25))}
+    x = pa.table(heads | {"i": [r[0] for r in xs], "weight": [r[2] for r in xs], "told": pa.array([[dict(zip(("y", "rx", "ry"), t)) for t in told[r[1]]] for r in xs], entry)})
+    y = pa.table({"j": [r[0] for r in ys], "w": [r[1] for r in ys], "weight": [r[2] for r in ys]})
+    want: dict = {}
+    for i in range(30):
+        for j in range(25):
+            links = [((w, v), (u, z), rx, ry) for a, w, v in xs if a == i for u, rx, ry in told[w] for b, t, z in ys if b == j and t == u]
+            if links:
+                gx = sum(max(rx for p, _, rx, _ in links if p == word) * word[1] for word in {p for p, *_ in links})
+                gy = sum(max(ry for _, q, _, ry in links if q == word) * word[1] for word in {q for _, q, *_ in links})
+                want[i, j] = (gx / sum(v for a, _, v in xs if a == i), gy / sum(z for b, _, z in ys if b == j))
+    for most in (10, 50, 2_000_000):
+        monkeypatch.setattr(align, "LINKS", most)
+        got = align._cells(x, y)
+        mine = {(int(i), int(j)): (a, b) for i, j, a, b in zip(got["i"], got["j"], got["a"], got["b"])}
+        assert mine.keys() == want.keys() and all(mine[k] == pytest.approx(want[k]) for k in want)
