@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.functions.text import Sql
 from quillspark.session import table
 
 SLOTS = ("flower", "plume", "sands", "goblet", "circlet")
@@ -88,13 +90,30 @@ def achievements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("record_no", "group_key", "group_name", F.get_json_object("a", "$.id").alias("achievement_id"), F.explode_outer(detail).alias("d")).select("record_no", "group_key", "group_name", "achievement_id", F.col("d.id").alias("detail_id"), F.col("d.title").alias("title"))
 
 
-QUERIES = {"payload_shapes": payload_shapes, "list_items": list_items, "story_rows": story_rows, "quest_lines": quest_lines, "set_pieces": set_pieces, "set_effects": set_effects, "achievements": achievements}
+def base_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The properties that a page starts from, in their order."""
+    b = bodies(spark, sf_dir).select("record_no", F.posexplode(F.from_json(F.get_json_object("body", "$.upgrade.prop"), "array<struct<propType:string,initValue:string>>")).alias("n", "p"))
+    return b.select("record_no", "n", F.col("p.propType").alias("prop"), F.col("p.initValue").alias("initial_value"))
+
+
+def refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effects of a page by their keys, with the text of each level; keys that are numbers count levels from one."""
+    b = bodies(spark, sf_dir).select("record_no", F.explode(_map(F.get_json_object("body", "$.affix"))).alias("affix_key", "a"))
+    b = b.select("record_no", "affix_key", T.clean_text(F.coalesce(F.get_json_object("a", "$.name"), F.lit(""))).alias("name"), F.explode(_map(F.get_json_object("a", "$.upgrade"))).alias("k", "text"))
+    level = F.when(F.col("k").rlike("^[0-9]+$"), (F.expr("try_cast(k as bigint)") + 1).cast("string")).otherwise(F.col("k"))
+    return b.select("record_no", "affix_key", "name", level.alias("level"), T.clean_text(F.col("text")).alias("text"))
+
+
+QUERIES = {"base_props": base_props, "refinements": refinements, "payload_shapes": payload_shapes, "list_items": list_items, "story_rows": story_rows, "quest_lines": quest_lines, "set_pieces": set_pieces, "set_effects": set_effects, "achievements": achievements}
 
 _BODY = """WITH p AS (SELECT record_no, CASE WHEN json_valid(payload) THEN CASE WHEN left(payload, 1) = '"' THEN payload->>'$' ELSE payload END END AS inner_text FROM raw_records),
   v AS MATERIALIZED (SELECT record_no, CAST(inner_text AS JSON) AS j FROM p WHERE json_valid(inner_text)),
   b AS MATERIALIZED (SELECT record_no, CASE WHEN j->>'$.response' = '200' THEN j->'$.data' ELSE j END AS body FROM v)"""
 
 ORACLE = {
+    "base_props": f"{_BODY} SELECT record_no, CAST(e.key AS INT) AS n, e.value->>'$.propType' AS prop, e.value->>'$.initValue' AS initial_value FROM b, json_each(body, '$.upgrade.prop') e",
+    "refinements": f"""{_BODY}, a AS (SELECT record_no, e.key AS affix_key, e.value AS a FROM b, json_each(body, '$.affix') e), r AS (SELECT record_no, affix_key, coalesce(a->>'$.name', '') AS name, e.key AS k, e.value->>'$' AS text FROM a, json_each(a, '$.upgrade') e)
+      SELECT record_no, affix_key, {Sql.clean('name')} AS name, CASE WHEN regexp_full_match(k, '[0-9]+') THEN CAST(CAST(k AS BIGINT) + 1 AS VARCHAR) ELSE k END AS level, {Sql.clean('text')} AS text FROM r""",
     "payload_shapes": f"{_BODY} SELECT array_to_string(list_sort(json_keys(body)), ',') AS fields, count(*) AS n FROM b GROUP BY 1",
     "list_items": f"{_BODY} SELECT record_no, e.key AS item_key, e.value->>'$.name' AS name, e.value->>'$.rank' AS item_rank, e.value->>'$.route' AS route FROM b, json_each(body, '$.items') e",
     "story_rows": f"""{_BODY}, r AS (SELECT record_no, 'story' AS section, e.key AS k, e.value AS row FROM b, json_each(body, '$.story') e UNION ALL SELECT record_no, 'quotes', e.key, e.value FROM b, json_each(body, '$.quotes') e),

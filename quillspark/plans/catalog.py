@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import build, corpus, expansion, groups, investigate, names, nested, payload, reader, search
+from quillspark.operators import build, corpus, evidence, expansion, groups, investigate, names, nested, payload, reader, search
 from quillspark.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, corpus, groups, names, search, reader, payload, build, expansion, investigate, sessions)
+MODULES = (nested, corpus, groups, names, search, reader, payload, build, expansion, investigate, evidence, sessions)
 
 
 def core_queries() -> dict[str, Query]:
