@@ -16,6 +16,8 @@ from quillspark.operators.ordering import ranked
 from quillspark.session import table
 
 CHUNK_CHARS = 1600
+#: Lines that are placed in one go.
+FOLD = 256
 
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,6 @@ def chunk_rows(documents: DataFrame, longest: int = CHUNK_CHARS) -> DataFrame:
     The fold runs over line lengths inside the row; lines are then gathered per chunk, which is bounded."""
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), T.strip), lambda x: x != "")
     docs = documents.filter("text is not null").select("document_id", lines.alias("lines"))
-    start = F.expr("struct(0 as chunk, 0 as used, false as open, cast(array() as array<int>) as firsts)")
 
     def step(s: F.Column, n: F.Column) -> F.Column:
         full = s["open"] & (s["used"] + n + 1 > longest)
@@ -77,7 +78,18 @@ def chunk_rows(documents: DataFrame, longest: int = CHUNK_CHARS) -> DataFrame:
             F.when(cut, 0).otherwise(used + n + 1).alias("used"), (~cut).alias("open"), F.concat(s["firsts"], F.array(chunk)).alias("firsts"),
         )
 
-    placed = docs.withColumn("firsts", F.aggregate(F.transform("lines", F.length), start, step, lambda s: s["firsts"]))
+    # In blocks, as each step copies the array it adds to: a text of many lines costs its length, not its square.
+    def block(s: F.Column, lengths: F.Column) -> F.Column:
+        begin = F.struct(s["chunk"].alias("chunk"), s["used"].alias("used"), s["open"].alias("open"), none.alias("firsts"))
+        done = F.aggregate(lengths, begin, step)
+        # The fold of a block is bound to a name of its own, so that it runs once.
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["chunk"].alias("chunk"), d["used"].alias("used"), d["open"].alias("open"), F.concat(s["firsts"], F.array(d["firsts"])).alias("firsts"))), F.lit(0))
+
+    none = F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("lengths"), F.lit(1)) - 1) / FOLD).cast("int")), lambda k: F.slice("lengths", k * FOLD + 1, F.lit(FOLD)))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.lit(False).alias("open"), F.array().cast("array<array<int>>").alias("firsts"))
+    docs = docs.withColumn("lengths", F.transform("lines", F.length)).withColumn("blocks", blocks)
+    placed = docs.withColumn("firsts", F.flatten(F.aggregate("blocks", start, block, lambda s: s["firsts"]))).drop("lengths", "blocks")
     rows = placed.select("document_id", F.posexplode(F.arrays_zip("firsts", "lines")).alias("n", "x"))
     rows = rows.select("document_id", "n", F.col("x.firsts").alias("first"), F.posexplode(T.slices(F.col("x.lines"), longest)).alias("k", "piece"))
     grouped = rows.groupBy("document_id", (F.col("first") + F.col("k")).alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("p"))

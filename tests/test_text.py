@@ -60,3 +60,17 @@ def test_bm25_like_sqlite(spark, mode, tokenizer):
         theirs |= {(i, seq): -rank for seq, rank in db.execute("select rowid, bm25(f) from f where f match ?", [match])}
     assert mine.keys() == theirs.keys() and mine
     assert all(abs(mine[k] - theirs[k]) < 2e-6 for k in mine)
+
+
+def test_chunks_of_very_many_lines(spark):
+    """The greedy rule over 60,000 lines, against a plain loop."""
+    lines = ["x" * (1 + n * 7 % 90) for n in range(60_000)]
+    got = {r["ordinal"]: r["text"] for r in corpus.chunk_rows(spark.createDataFrame([("a", "\n".join(lines))], "document_id string, text string"), 200).collect()}
+    want, used = [[]], 0
+    for line in lines:
+        if want[-1] and used + len(line) + 1 > 200:
+            want.append([])
+            used = 0
+        want[-1].append(line)
+        used += len(line) + 1
+    assert [got[k] for k in range(len(got))] == ["\n".join(c) for c in want]
