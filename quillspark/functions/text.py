@@ -34,6 +34,22 @@ def normalize_alias(c: Column) -> Column:
     return F.regexp_replace(F.lower(clean_text(c)), rf"{WS}+", "")
 
 
+def compact(c: Column) -> Column:
+    """Cleaned, with no white space at all, letter case kept."""
+    return F.regexp_replace(clean_text(c), rf"{WS}+", "")
+
+
+def safe_int(c: Column, default: int) -> Column:
+    """The whole number that a text is, else the default (also for null)."""
+    bare = strip(c)
+    return F.coalesce(F.when(bare.rlike(r"^[+-]?[0-9]{1,18}$"), bare.cast("bigint")), F.lit(default).cast("bigint"))
+
+
+def without_nulls(c: Column) -> Column:
+    """A map without the entries whose value is null."""
+    return F.map_filter(c, lambda _, v: v.isNotNull())
+
+
 def normalize_for_hash(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(clean_text(c), rf"{WS}+", " ")))
 

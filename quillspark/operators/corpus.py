@@ -101,6 +101,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("document_id", "ordinal", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"))
 
 
+def item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item row's rank as a number (0 if it is none), the fields of its metadata that have a value, its route without blanks."""
+    given = T.without_nulls(F.from_json("metadata_json", "map<string,string>"))
+    return table(spark, sf_dir, "items").select("ingest_seq", T.safe_int(F.col("item_rank"), 0).alias("item_rank"), F.array_join(F.array_sort(F.map_keys(given)), ",").alias("fields"), T.compact(F.col("route")).alias("route"))
+
+
 def upsert_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item: identity of the first row, first non-empty scalar fields, last metadata."""
     seq = F.col("ingest_seq")
@@ -167,7 +173,7 @@ def usable_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "clean_documents": clean_documents, "split_units": split_units, "units_by_speaker": units_by_speaker, "unit_differences": unit_differences, "unit_numbers": unit_numbers,
-    "quoted_names": quoted_names, "chunk_documents": chunk_documents, "upsert_items": upsert_items, "upsert_localizations": upsert_localizations, "entity_names": entity_names,
+    "quoted_names": quoted_names, "chunk_documents": chunk_documents, "item_fields": item_fields, "upsert_items": upsert_items, "upsert_localizations": upsert_localizations, "entity_names": entity_names,
     "last_aliases": last_aliases, "lists_without_detail": lists_without_detail, "relations": relations, "readable_paths": readable_paths, "safe_identifiers": safe_identifiers, "usable_aliases": usable_aliases,
 }
 
@@ -180,6 +186,9 @@ _PATH = rf"""regexp_replace({Sql.strip(rf"regexp_replace(regexp_replace({_TITLE}
 _PATH = rf"regexp_replace(left({_PATH}, 120), '[ .]+$', '')"
 
 ORACLE = {
+    "item_fields": f"""WITH j AS (SELECT *, CASE WHEN json_valid(metadata_json) THEN CAST(metadata_json AS JSON) END AS j, {Sql.strip('item_rank')} AS bare FROM items)
+      SELECT ingest_seq, CASE WHEN regexp_full_match(bare, '[+-]?[0-9]{{1,18}}') THEN CAST(bare AS BIGINT) ELSE 0 END AS item_rank, CASE WHEN json_type(j) = 'OBJECT' THEN coalesce(array_to_string(list_sort([k FOR k IN json_keys(j) IF json_type(j, '$."' || k || '"') <> 'NULL']), ','), '') END AS fields,
+        regexp_replace({Sql.clean('route')}, '{T.WS}+', '', 'g') AS route FROM j""",
     "clean_documents": f"SELECT doc_id, length({_CLEAN}) AS clean_chars, sha256({Sql.for_hash('text')}) AS key_hash, n_chars <> length(text) AS stale FROM documents",
     "split_units": f"SELECT * FROM ({_UNITS}) WHERE text <> ''",
     "units_by_speaker": "SELECT language, speaker, count(*) AS n_units, count(DISTINCT document_id) AS n_documents FROM text_units WHERE speaker IS NOT NULL GROUP BY ALL",

@@ -53,6 +53,30 @@ def duplicate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.when(F.col("n") > 1, F.col("group_id")).alias("group_id"), status.alias("status"), F.when(status == "duplicate", F.col("representative")).alias("duplicate_of"))
 
 
+#: Category and subcategory of each content type, names of the kinds of quests, and what all others are.
+CATEGORIES = {
+    "avatar": ("캐릭터", None), "weapon": ("무기", None), "reliquary": ("성유물", None), "gcg": ("일곱 성인의 소환", None), "quest": ("여행 기록", None), "achievement": ("업적", None),
+    "food": ("아카이브", "음식"), "material": ("아카이브", "재료"), "furniture": ("아카이브", "가구"), "furnitureSuite": ("아카이브", "가구 세트"), "namecard": ("아카이브", "명함"), "monster": ("아카이브", "생물지"), "book": ("아카이브", "서적"), "elements": ("가이드북", "원소"),
+    "advanced_avatar_guide": ("보조 데이터", "고급 가이드/캐릭터"), "advanced_weapon_guide": ("보조 데이터", "고급 가이드/무기"), "advanced_reliquary_guide": ("보조 데이터", "고급 가이드/성유물"),
+    "avatarCurve": ("보조 데이터", "캐릭터 성장 곡선"), "weaponCurve": ("보조 데이터", "무기 성장 곡선"), "reliquaryCurve": ("보조 데이터", "성유물 성장 곡선"), "monsterCurve": ("보조 데이터", "몬스터 성장 곡선"),
+    "event": ("보조 데이터", "이벤트"), "pronoun": ("보조 데이터", "대명사"), "everything": ("보조 데이터", "전체 목록"), "manualWeapon": ("보조 데이터", "수동 무기"), "combine": ("보조 데이터", "합성"), "dailyDungeon": ("보조 데이터", "요일 던전"),
+    "upgrade": ("보조 데이터", "강화 비용"), "tower": ("보조 데이터", "나선 비경"), "static_changelog": ("보조 데이터", "변경 이력"), "readable": ("보조 데이터", "읽을거리"),
+}
+QUESTS = {"aq": "마신 임무", "lq": "전설 임무", "eq": "이벤트 임무", "wq": "월드 임무", "iq": "일일 의뢰"}
+OTHER_CATEGORY, OTHER_QUEST = "보조 데이터", "기타"
+
+
+def document_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category and subcategory of each document; a content type without one is its own subcategory, quests have their kind's."""
+    named = F.create_map(*(F.lit(x) for kind, value in CATEGORIES.items() for x in (kind, value[0])))
+    parts = F.create_map(*(F.lit(x) for kind, value in CATEGORIES.items() for x in (kind, value[1])))
+    quests = F.create_map(*(F.lit(x) for pair in QUESTS.items() for x in pair))
+    kind = F.col("content_type")
+    quest = F.coalesce(quests[F.get_json_object("metadata_json", "$.quest_type")], F.lit(OTHER_QUEST))
+    part = F.when(kind == "quest", quest).when(kind.isin(*CATEGORIES), parts[kind]).otherwise(kind)
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(named[kind], F.lit(OTHER_CATEGORY)).alias("category"), part.alias("subcategory"))
+
+
 def parallel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one item across languages."""
     d = table(spark, sf_dir, "documents")
@@ -142,6 +166,7 @@ def parallel_group_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "document_categories": document_categories,
     "duplicate_group_reports": duplicate_group_reports, "parallel_group_reports": parallel_group_reports,
     "exact_groups": exact_groups, "duplicate_status": duplicate_status, "parallel_groups": parallel_groups, "duplicate_titles": duplicate_titles,
     "quality_report": quality_report, "occurrence_ids": occurrence_ids, "fingerprints": fingerprints,
@@ -168,6 +193,9 @@ def _report_sql(facets: dict[str, str]) -> str:
 _RANK = "row(CASE source " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in SOURCE_PRIORITY.items()) + " ELSE 100 END, CASE document_kind " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in REPORT_KINDS.items()) + " ELSE 50 END, document_id)"
 
 ORACLE = {
+    "document_categories": f"""SELECT doc_id, CASE content_type {' '.join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in CATEGORIES.items())} ELSE '{OTHER_CATEGORY}' END AS category,
+      CASE content_type WHEN 'quest' THEN CASE metadata_json->>'$.quest_type' {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in QUESTS.items())} ELSE '{OTHER_QUEST}' END
+        {' '.join(f"WHEN '{k}' THEN " + (f"'{v[1]}'" if v[1] else 'NULL') for k, v in CATEGORIES.items() if k != 'quest')} ELSE content_type END AS subcategory FROM documents""",
     "duplicate_group_reports": f"""WITH {_ROWS}, k AS MATERIALIZED (SELECT *, 'exact:' || language || ':' || left(text_hash, 20) AS key FROM d),
       g AS (SELECT key, count(*) AS n, min(language) AS language, min(text_hash) AS text_hash, arg_min(document_id, {_RANK}) AS representative FROM k GROUP BY key HAVING count(*) > 1)
       SELECT key AS group_id, * EXCLUDE (key) FROM g {_report_sql({"sources": "source", "content_types": "content_type", "titles": "title"})}""",
