@@ -99,6 +99,15 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents of each kind of flaw; the cut comes before the shuffle, so a flaw of a third of all rows is no burden."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    flaws = {"blank": T.strip(text) == "", "short": F.length(text) < 20, "marked_up": text.contains("<color="), "untitled": T.is_generic_title(F.col("title")), "stale": F.col("n_chars") != F.length("text"), "no_source": F.col("source").isNull()}
+    named = F.explode(F.filter(F.array(*(F.when(c, name) for name, c in flaws.items())), lambda x: x.isNotNull())).alias("flaw")
+    rows = table(spark, sf_dir, "documents").filter("doc_id is not null").select(named, "doc_id")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("flaw").orderBy("doc_id"))).filter(F.col("place") <= IDS)
+
+
 def occurrence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit ids made unique: an id that occurs once stays; else it gets a suffix of its content, and a number if need be."""
     u = table(spark, sf_dir, "text_units").select("unit_seq", "unit_id", F.left(F.sha2(F.concat_ws("|", "document_id", "text_hash"), 256), F.lit(12)).alias("suffix"))
@@ -166,7 +175,7 @@ def parallel_group_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "document_categories": document_categories,
+    "document_categories": document_categories, "quality_samples": quality_samples,
     "duplicate_group_reports": duplicate_group_reports, "parallel_group_reports": parallel_group_reports,
     "exact_groups": exact_groups, "duplicate_status": duplicate_status, "parallel_groups": parallel_groups, "duplicate_titles": duplicate_titles,
     "quality_report": quality_report, "occurrence_ids": occurrence_ids, "fingerprints": fingerprints,
@@ -192,7 +201,13 @@ def _report_sql(facets: dict[str, str]) -> str:
 
 _RANK = "row(CASE source " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in SOURCE_PRIORITY.items()) + " ELSE 100 END, CASE document_kind " + " ".join(f"WHEN '{a}' THEN {b}" for a, b in REPORT_KINDS.items()) + " ELSE 50 END, document_id)"
 
+_FLAWS = {
+    "blank": Sql.strip("coalesce(text, '')") + " = ''", "short": "length(coalesce(text, '')) < 20", "marked_up": "contains(text, '<color=')",
+    "untitled": _GENERIC, "stale": "n_chars <> length(text)", "no_source": "source IS NULL",
+}
+
 ORACLE = {
+    "quality_samples": "SELECT *, row_number() OVER (PARTITION BY flaw ORDER BY doc_id) AS place FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS flaw, doc_id FROM documents WHERE doc_id IS NOT NULL AND {c}" for name, c in _FLAWS.items()) + f") QUALIFY place <= {IDS}",
     "document_categories": f"""SELECT doc_id, CASE content_type {' '.join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in CATEGORIES.items())} ELSE '{OTHER_CATEGORY}' END AS category,
       CASE content_type WHEN 'quest' THEN CASE metadata_json->>'$.quest_type' {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in QUESTS.items())} ELSE '{OTHER_QUEST}' END
         {' '.join(f"WHEN '{k}' THEN " + (f"'{v[1]}'" if v[1] else 'NULL') for k, v in CATEGORIES.items() if k != 'quest')} ELSE content_type END AS subcategory FROM documents""",

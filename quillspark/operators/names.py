@@ -30,12 +30,16 @@ def build_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(alias_rows(spark, sf_dir))
 
 
+def concept_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best alias of each concept in each language: by weight, then the shortest, then the first in order."""
+    best = F.min_by("name", F.struct(-F.col("weight"), F.length("name"), "name")).alias("name")
+    return merged(alias_rows(spark, sf_dir)).groupBy("canonical_id", "language").agg(best, F.count(F.lit(1)).alias("n_names"))
+
+
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary name of each concept: the best alias of each language, Korean before English before any other."""
-    best = W.partitionBy("canonical_id", "language").orderBy(F.desc("weight"), F.length("name"), "name")
-    first = merged(alias_rows(spark, sf_dir)).withColumn("r", F.row_number().over(best)).filter("r = 1")
     order = F.struct(F.when(F.col("language") == "ko", 0).when(F.col("language") == "en", 1).otherwise(2), "language")
-    return first.groupBy("canonical_id").agg(F.min_by("name", order).alias("primary_name"), F.count(F.lit(1)).alias("n_languages"))
+    return concept_names(spark, sf_dir).groupBy("canonical_id").agg(F.min_by("name", order).alias("primary_name"), F.count(F.lit(1)).alias("n_languages"))
 
 
 def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.filter("rank <= 14").select("unit_seq", "canonical_id", "score", "rank")
 
 
-QUERIES = {"build_aliases": build_aliases, "concepts": concepts, "shared_names": shared_names, "expand_queries": expand_queries}
+QUERIES = {"build_aliases": build_aliases, "concept_names": concept_names, "concepts": concepts, "shared_names": shared_names, "expand_queries": expand_queries}
 
 _ALIAS = f"""WITH src AS (
     SELECT canonical_id, language, name, 'alias' AS alias_source, coalesce(weight, 0.5) AS weight, row_id AS seq FROM aliases
@@ -69,6 +73,7 @@ _ALIAS = f"""WITH src AS (
 
 ORACLE = {
     "build_aliases": f"{_ALIAS} SELECT * FROM merged",
+    "concept_names": f"{_ALIAS} SELECT canonical_id, language, name, count(*) OVER (PARTITION BY canonical_id, language) AS n_names FROM merged QUALIFY row_number() OVER (PARTITION BY canonical_id, language ORDER BY weight DESC, length(name), name) = 1",
     "concepts": f"""{_ALIAS}, best AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY canonical_id, language ORDER BY weight DESC, length(name), name) = 1)
       SELECT canonical_id, arg_min(name, row(CASE language WHEN 'ko' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, language)) AS primary_name, count(*) AS n_languages FROM best GROUP BY 1""",
     "shared_names": f"{_ALIAS} SELECT language, normalized, count(*) AS n_concepts, max(weight) AS weight FROM merged GROUP BY ALL HAVING count(*) > 1",
